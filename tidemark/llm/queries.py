@@ -22,7 +22,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import read_records, write_bundles
+
+    folder, index = write_bundles(_table(spark, sf_dir, "pages"))
+    return read_records(folder, index, payloads=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import best_fit_pack
+
+    return best_fit_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op6_warc": op6_warc,
+    "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
