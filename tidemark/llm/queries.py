@@ -39,9 +39,35 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def _remainder(mod: int):
+    """crc32 of doc_id written as text, modulo ``mod``; of a null doc_id, -1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod, F.lit(-1))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score_toxicity
+
+    scored = score_toxicity(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=_remainder(4) != 2, keep=["doc_id"]
+    )
+    held = (_remainder(4) == 2).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, learn_from=_remainder(3) != 1)
+    held = (_remainder(3) == 1).alias("held_out")
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", held, "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_warc": op6_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
