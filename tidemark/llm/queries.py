@@ -22,6 +22,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("detections", lambda d: d["base"])
+    starts = F.transform("base", lambda d: d["start"].cast("long"))
+    names = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda d: d["label"])))
+    both = F.array_sort(F.array_union(names("base"), names("kept")))
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(names("base"), ",").alias("base_labels"),
+        F.array_join(both, ",").alias("labels"), F.coalesce(F.array_max(F.transform("kept", lambda d: d["weight"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import read_records, write_bundles
 
@@ -65,6 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
