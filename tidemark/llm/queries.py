@@ -22,6 +22,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licenses import scan_licenses
 
@@ -59,6 +65,12 @@ def _remainder(mod: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod, F.lit(-1))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vector_dedup import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import score_toxicity
 
@@ -80,8 +92,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_neighbours": op4_neighbours,
     "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
