@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies", F.col("lead").alias("kept"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_sources
 
@@ -91,6 +97,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_mixing": op3_mixing,
     "op4_neighbours": op4_neighbours,
     "op5_licenses": op5_licenses,
