@@ -124,7 +124,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
                 sets = [np.flatnonzero(r).astype(np.int32) for r in seen]
                 yield pa.record_batch([langs[lo:hi], pa.array(sets, pa.list_(pa.int32()))], names=["lang", "grams"])
 
-    rows = sample.mapInArrow(extract, "lang string, grams array<int>").toPandas()
+    rows = sample.mapInArrow(extract, "lang string, grams array<int>").toArrow().to_pandas()  # a bounded sample
     languages = tuple(sorted(set(rows["lang"])))
     width = 1 << spectrum.bits
     if not len(rows) or not languages:
