@@ -18,6 +18,16 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies", F.col("lead").alias("kept"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_exact", "n_near", (F.col("n_lines") - F.col("n_exact") - F.col("n_near")).alias("n_kept"),
+        F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_sources
 
@@ -98,6 +108,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_neighbours": op4_neighbours,
     "op5_licenses": op5_licenses,
