@@ -48,6 +48,14 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
+def slices(column: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes: the working arrays of one range are some twenty times its bytes."""
+    sizes = pc.binary_length(pc.fill_null(column, "").cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words are runs of ASCII letters and digits and of every byte of a non-ASCII character.

@@ -26,13 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialize
-from tidemark.llm.textcore import mix, word_hashes
+from tidemark.llm.textcore import slices, word_hashes
 
 START = np.uint64(0x51ED270B7A1C4E95)
+#: A bigram is one number: 40 bits of the hash of its second word, then 24 bits of that of its first.
+HEAD_BITS = 24
+
+
+def tails(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(HEAD_BITS)
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * np.uint64(0xD1342543DE82EF95) + right * np.uint64(0x2545F4914F6CDD1D) + np.uint64(11))
+    return (tails(right) << np.uint64(HEAD_BITS)) | (left >> np.uint64(64 - HEAD_BITS))
 
 
 def contexts(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -44,26 +50,28 @@ def contexts(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return before
 
 
+def parts_of(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in slices(batch.column(text)):
+            yield batch.slice(lo, hi - lo)
+
+
 def bigram_counts(labelled: DataFrame) -> DataFrame:
-    """h, w (hashes of a bigram's words) with ``t`` and ``o``: its count in toxic and in other documents."""
+    """pair with ``t`` and ``o``: its count in toxic and in other documents."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             words, bounds = word_hashes(batch.column("text"))
             if not len(words):
                 continue
-            left = contexts(words, bounds)
             toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False) > 0, np.diff(bounds))
-            _, first, which = np.unique(pair_keys(left, words), return_index=True, return_inverse=True)
-            t = np.bincount(which, weights=toxic, minlength=len(first)).astype(np.int64)
-            n = np.bincount(which, minlength=len(first))
-            yield pa.record_batch(
-                [pa.array(left[first].view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(t), pa.array(n - t)],
-                names=["h", "w", "t", "o"],
-            )
+            pairs, which = np.unique(pair_keys(contexts(words, bounds), words), return_inverse=True)
+            t = np.bincount(which, weights=toxic, minlength=len(pairs)).astype(np.int64)
+            n = np.bincount(which, minlength=len(pairs))
+            yield pa.record_batch([pa.array(pairs.view(np.int64)), pa.array(t), pa.array(n - t)], names=["pair", "t", "o"])
 
-    rows = labelled.select("text", "toxic").mapInArrow(count, "h long, w long, t long, o long")
-    return rows.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    rows = labelled.select("text", "toxic").mapInArrow(count, "pair long, t long, o long")
+    return rows.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def _g2(t: Column, o: Column, share: Column) -> Column:
@@ -74,14 +82,15 @@ def _g2(t: Column, o: Column, share: Column) -> Column:
 
 
 def fit_expressions(labelled: DataFrame, discount: float = 0.75, evidence: float = 15.0) -> DataFrame:
-    """kind (1 word, 2 bigram), h, w and llr: the expressions whose class counts matter."""
+    """kind (1 word, 2 bigram), key and llr: the expressions whose class counts matter."""
     pairs = materialize(bigram_counts(labelled), "tox-pairs")
+    word, head = F.shiftrightunsigned("pair", HEAD_BITS), F.col("pair").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))
     words = materialize(
-        pairs.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("cont")), "tox-words"
+        pairs.groupBy(word.alias("w")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("cont")), "tox-words"
     )
     total = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("cont").alias("cont"), F.count(F.lit(1)).alias("types")).first()
     if not total["t"] or not total["o"]:
-        return words.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "w", F.lit(0.0).alias("llr")).where(F.lit(False))
+        return words.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.lit(0.0).alias("llr")).where(F.lit(False))
     nt, no, share = float(total["t"]), float(total["o"]), total["t"] / (total["t"] + total["o"])
     back = discount * total["types"] / (nt + no)
 
@@ -90,18 +99,18 @@ def fit_expressions(labelled: DataFrame, discount: float = 0.75, evidence: float
 
     scored = words.withColumns({"pt": unigram("t", nt), "po": unigram("o", no)})
     ones = scored.where(_g2(F.col("t"), F.col("o"), F.lit(share)) >= evidence).select(
-        F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "w", F.log(F.col("pt") / F.col("po")).alias("llr")
+        F.lit(1).alias("kind"), F.col("w").alias("key"), F.log(F.col("pt") / F.col("po")).alias("llr")
     )
     # A bigram is held against what its second word alone says.
-    heads = pairs.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count(F.lit(1)).alias("hn"))
-    likely = pairs.where(F.col("t") + F.col("o") >= 3)
-    tails = scored.where("t + o >= 3").select("w", F.col("t").alias("wt"), F.col("o").alias("wo"), "pt", "po")
-    joined = likely.join(tails, "w").withColumn("ws", (F.col("wt") + share) / (F.col("wt") + F.col("wo") + 1))
+    heads = pairs.groupBy(head.alias("h")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count(F.lit(1)).alias("hn"))
+    likely = pairs.where(F.col("t") + F.col("o") >= 3).withColumns({"w": word, "h": head})
+    tail = scored.where("t + o >= 3").select("w", F.col("t").alias("wt"), F.col("o").alias("wo"), "pt", "po")
+    joined = likely.join(tail, "w").withColumn("ws", (F.col("wt") + share) / (F.col("wt") + F.col("wo") + 1))
     strong = joined.where(_g2(F.col("t"), F.col("o"), F.col("ws")) >= evidence)
     lam = discount * F.col("hn") / (F.col("ht") + F.col("ho"))
     prob = lambda n, of, p: F.greatest(F.col(n) - discount, F.lit(0.0)) / F.greatest(F.col(of), F.lit(1)) + lam * F.col(p)
     twos = strong.join(heads, "h").select(
-        F.lit(2).alias("kind"), "h", "w", F.log(prob("t", "ht", "pt") / prob("o", "ho", "po")).alias("llr")
+        F.lit(2).alias("kind"), F.col("pair").alias("key"), F.log(prob("t", "ht", "pt") / prob("o", "ho", "po")).alias("llr")
     )
     return materialize(ones.unionByName(twos), "tox-expressions")
 
@@ -110,13 +119,12 @@ class Table:
     """Sorted keys with their log-likelihood ratios."""
 
     def __init__(self, rows) -> None:
-        h, w = (rows[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("h", "w"))
         two = rows["kind"].to_numpy() == 2
-        llr = rows["llr"].to_numpy(dtype=np.float64)
+        keys, llr = rows["key"].to_numpy(dtype=np.int64).view(np.uint64), rows["llr"].to_numpy(dtype=np.float64)
         self.parts = []
-        for keys, value in ((w[~two], llr[~two]), (pair_keys(h[two], w[two]), llr[two])):
-            order = np.argsort(keys)
-            self.parts.append((keys[order], value[order]))
+        for part in (~two, two):
+            order = np.argsort(keys[part])
+            self.parts.append((keys[part][order], llr[part][order]))
 
     def look(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known, value = self.parts[part]
@@ -128,7 +136,7 @@ class Table:
 
     def sums(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The log-likelihood ratio of each text: a kept bigram speaks for its second word."""
-        _, one = self.look(0, words)
+        _, one = self.look(0, tails(words))
         hit, two = self.look(1, pair_keys(contexts(words, bounds), words)) if len(words) else (np.zeros(0, bool), one)
         upto = np.concatenate([[0.0], np.cumsum(np.where(hit, two, one))])
         return upto[bounds[1:]] - upto[bounds[:-1]]
@@ -140,10 +148,10 @@ def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], broadcast_r
     schema = docs.select(*keep).withColumns({"llr": F.lit(0.0), "n": F.lit(0).cast("long")}).schema
     source = docs.select(*keep, F.col("text").alias("_text"))
     if expressions.count() <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(Table(expressions.toPandas()))
+        shared = spark.sparkContext.broadcast(Table(expressions.toArrow().to_pandas()))
 
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts_of(batches, "_text"):
                 words, bounds = word_hashes(batch.column("_text"))
                 values = [pa.array(shared.value.sums(words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
                 yield pa.record_batch([*(batch.column(c) for c in keep), *values], names=[*keep, "llr", "n"])
@@ -152,18 +160,17 @@ def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], broadcast_r
     rows = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "tox-rows")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, "_text"):
             words, bounds = word_hashes(batch.column("_text"))
             row = np.repeat(batch.column("_row").to_numpy(zero_copy_only=False), np.diff(bounds))
-            left = contexts(words, bounds) if len(words) else words
-            yield pa.record_batch([pa.array(row), pa.array(left.view(np.int64)), pa.array(words.view(np.int64))], names=["_row", "h", "w"])
+            pair = pair_keys(contexts(words, bounds), words) if len(words) else words
+            yield pa.record_batch([pa.array(row), pa.array(pair.view(np.int64))], names=["_row", "pair"])
 
-    said = rows.select("_row", "_text").mapInArrow(spread, "_row long, h long, w long")
-    said = said.groupBy("_row", "h", "w").agg(F.count(F.lit(1)).alias("k"))
-    one = expressions.where("kind = 1").select("w", F.col("llr").alias("_one"))
-    two = expressions.where("kind = 2").select("h", "w", F.col("llr").alias("_two"))
+    said = rows.select("_row", "_text").mapInArrow(spread, "_row long, pair long").groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("k"))
+    one = expressions.where("kind = 1").select(F.col("key").alias("w"), F.col("llr").alias("_one"))
+    two = expressions.where("kind = 2").select(F.col("key").alias("pair"), F.col("llr").alias("_two"))
     summed = (
-        said.join(one, "w", "left").join(two, ["h", "w"], "left").groupBy("_row")
+        said.withColumn("w", F.shiftrightunsigned("pair", HEAD_BITS)).join(one, "w", "left").join(two, "pair", "left").groupBy("_row")
         .agg(F.sum(F.coalesce("_two", "_one", F.lit(0.0)) * F.col("k")).alias("llr"), F.sum("k").alias("n"))
     )
     return rows.drop("_text").join(summed, "_row", "left").select(*keep, F.coalesce("llr", F.lit(0.0)).alias("llr"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -200,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
     labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(side, "doc_id")
     expressions = fit_expressions(labelled)
     near = (F.xxhash64(F.lit("fit"), F.col("doc_id")) / F.lit(2.0**64)) + 0.5 < fit_rows / max(1, size)
-    sample = totals(labelled.where(near), expressions, ["doc_id", "toxic"], broadcast_rows).toPandas()
+    sample = totals(labelled.where(near), expressions, ["doc_id", "toxic"], broadcast_rows).toArrow().to_pandas()
     y = (sample["toxic"].to_numpy(dtype=float) > 0).astype(float)
     order = np.lexsort((sample["llr"], sample["n"], sample["doc_id"]))
     if len(y) and 0 < y.mean() < 1:
