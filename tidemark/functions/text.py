@@ -52,13 +52,15 @@ def claim_tokens(x: Column) -> Column:
 
 def token_shingles(tokens: Column, width: int = 5, most: int = 6000) -> Column:
     """Distinct hashes of token n-grams, taken at a stride that keeps at most ``most`` of them."""
-    count = F.size(tokens) - (width - 1)
-    step = F.ceil(count / F.lit(most)).cast("int")
-    grams = F.transform(
-        F.sequence(F.lit(0), count - 1, F.greatest(step, F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, F.lit(width)), "\x1f")),
-    )
-    return F.when(count >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+    def grams(t: Column) -> Column:
+        count = F.size(t) - (width - 1)
+        step = F.greatest(F.ceil(count / F.lit(most)).cast("int"), F.lit(1))
+        each = F.transform(F.sequence(F.lit(0), count - 1, step), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(width)), "\x1f")))
+        return F.when(count >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    # Bound to a variable, the tokens are made once a row and not once an n-gram.
+    return F.transform(F.array(tokens), grams)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import containment, dedup_tokens, digest, token_shingles
+from tidemark.lineage import cut
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 5, most: int = 6000) -> DataFrame:
@@ -29,6 +30,7 @@ def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens:
     nothing at the threshold is missed, and no pair is formed but through a rare shingle or an equal text.
     """
     big = docs.where(F.col("n_tokens") >= min_tokens).select(*group, "suffix", F.col("doc_id").alias("id"), "n_tokens", "digest", "norm", "shingles")
+    big = cut(big, "near-docs")
     each = big.select(*group, "suffix", "id", F.size("shingles").alias("_n"), F.explode("shingles").alias("g"))
     common = each.groupBy(*group, "suffix", "g").agg(F.count(F.lit(1)).alias("_df"))
     rank = F.row_number().over(Window.partitionBy(*group, "suffix", "id").orderBy("_df", "g"))
@@ -61,7 +63,8 @@ def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list
     edges = pairs.select("a", "b").join(a, "a").join(b, "b").select(
         F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.least("ra", "rb").alias("brk"),
         F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse"),
-    ).checkpoint()
+    )
+    edges = cut(edges, "greedy-edges")
     involved = edges.select(F.col("better").alias("id")).union(edges.select("worse")).distinct()
     state = involved.withColumn("keep", F.lit(None).cast("boolean"))
     for _ in range(rounds):
@@ -69,7 +72,7 @@ def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list
             F.bool_or(F.coalesce("_k", F.lit(False))).alias("_hit"), F.bool_or(F.col("_k").isNull()).alias("_wait")
         )
         new = F.coalesce("keep", F.when(F.col("_hit"), F.lit(False)).when(~F.coalesce("_wait", F.lit(False)), F.lit(True)))
-        state = state.join(seen, "id", "left").select("id", new.alias("keep")).checkpoint()
+        state = cut(state.join(seen, "id", "left").select("id", new.alias("keep")), "greedy-state")
         if state.where("keep is null").isEmpty():
             break
     kept = state.where("keep").select(F.col("id").alias("better"))

@@ -111,6 +111,10 @@ CLAIM_FIELDS = {
 }
 
 
+def _claim_of(category: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x.alias("claim"), F.lit(category).alias("category"))
+
+
 def promote_single(announcements: DataFrame) -> DataFrame:
     """A window with one announcement takes its summary over: overview, a timeline of one and its claims.
 
@@ -119,7 +123,7 @@ def promote_single(announcements: DataFrame) -> DataFrame:
     """
     have = [c for c in CLAIM_FIELDS if c in announcements.columns]
     claims = F.flatten(F.array(*[
-        F.transform(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.trim), lambda x: x != ""), lambda x, k=CLAIM_FIELDS[c]: F.struct(x.alias("claim"), F.lit(k).alias("category")))
+        F.transform(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), _claim_of(CLAIM_FIELDS[c]))
         for c in have
     ]))
     return announcements.where(F.trim("executive_summary") != "").select(

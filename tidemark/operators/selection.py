@@ -67,7 +67,7 @@ def classify(attachments: DataFrame, group: list[str], title: str = "title", nam
         "_primary": F.sum((F.col("_first") == "primary").cast("int")).over(whole),
         "_generic": F.sum((F.col("_first") == "generic").cast("int")).over(whole),
         "_mains": F.sum(F.col("_opaque").cast("int")).over(whole),
-        "_rank": F.row_number().over(Window.partitionBy(*group, "_first").orderBy(F.col(main).cast("int"), position)),
+        "_rank": F.row_number().over(Window.partitionBy(*group, "_first").orderBy(F.col(main).cast("int"), position, name)),
     })
     chosen = (F.col("_first") == "generic") & (F.col("_primary") == 0) & (F.col("_rank") == 1)
     alone = F.col("_opaque") & (F.col("_primary") == 0) & (F.col("_generic") == 0) & (F.col("_mains") == 1)

@@ -41,7 +41,7 @@ f AS (SELECT *, title LIKE 'Laporan%' AS smart, CASE WHEN suffix = '.zip' THEN '
  WHEN suffix = '.pdf' AND (norm LIKE '%financialstatement%' OR norm LIKE '%financial statement%') THEN 'generic' ELSE 'supporting' END AS first FROM s),
 g AS (SELECT *, smart AND suffix = '.pdf' AND norm NOT LIKE '%checklist%' AND NOT is_attachment AS opaque FROM f),
 w AS (SELECT *, sum((first = 'primary')::INT) OVER p AS np, sum((first = 'generic')::INT) OVER p AS ng, sum(opaque::INT) OVER p AS nm,
- row_number() OVER (PARTITION BY announcement_id, first ORDER BY is_attachment::INT, position) AS rk FROM g WINDOW p AS (PARTITION BY announcement_id)),
+ row_number() OVER (PARTITION BY announcement_id, first ORDER BY is_attachment::INT, position, filename) AS rk FROM g WINDOW p AS (PARTITION BY announcement_id)),
 c AS (SELECT announcement_id, filename, CASE WHEN first IN ('sheet','primary') OR (first = 'generic' AND np = 0 AND rk = 1) OR (opaque AND np = 0 AND ng = 0 AND nm = 1) THEN 'financial_statement'
  WHEN first = 'generic' THEN 'financial_statement_duplicate' ELSE first END AS category FROM w)"""
 
@@ -134,16 +134,12 @@ def near_dup_greedy(t, spark, sf):
     """U1, F10, G7"""
     docs = _docs(t)
     pairs = dedup.near_pairs(docs, ["lang"], 0.8)
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(mkdtemp())
     return dedup.greedy_keep(docs.select("doc_id", "lang", "n_tokens"), pairs, ["lang"], [F.desc("n_tokens"), "doc_id"]).select("doc_id", "keep")
 
 
-CHUNK_SQL = """WITH RECURSIVE c(doc_id, text, at, nxt, k) AS (SELECT doc_id, text, 0, 0, 0 FROM documents UNION ALL
+CHUNK_SQL = """WITH RECURSIVE c(doc_id, text, lo, nxt, k) AS (SELECT doc_id, text, 0, 0, 0 FROM documents UNION ALL
  SELECT doc_id, text, nxt, CASE WHEN length(text) - nxt <= 5000 THEN length(text) ELSE nxt + CASE WHEN 5000 - strpos(reverse(text[nxt+1:nxt+5000]), chr(10)) > 2500 AND strpos(reverse(text[nxt+1:nxt+5000]), chr(10)) > 0 THEN 5000 - strpos(reverse(text[nxt+1:nxt+5000]), chr(10)) ELSE 5000 END END, k + 1
- FROM c WHERE nxt < length(text) OR k = 0), x AS (SELECT doc_id, k AS chunk_index, text[at+1:nxt] AS chunk, max(k) OVER (PARTITION BY doc_id) AS chunk_count FROM c WHERE k > 0)"""
+ FROM c WHERE nxt < length(text) OR k = 0), x AS (SELECT doc_id, k AS chunk_index, text[lo+1:nxt] AS chunk, max(k) OVER (PARTITION BY doc_id) AS chunk_count FROM c WHERE k > 0)"""
 
 
 @query(f"{CHUNK_SQL} SELECT doc_id, chunk_index, chunk_count, sha256(chunk) AS chunk_sha, length(chunk) AS n_chars FROM x")

@@ -51,13 +51,10 @@ def visible_text(html: str | None) -> str:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf("string")
-def _html(texts: pd.Series) -> pd.Series:
-    return texts.map(visible_text)
-
-
 def html_text(html: Column) -> Column:
-    return normalize_text(_html(html))
+    """Visible text in Arrow batches, normalised in the JVM."""
+    visible = F.pandas_udf(lambda texts: texts.map(visible_text), "string")
+    return normalize_text(visible(html))
 
 
 def _local(tag: str) -> str:
