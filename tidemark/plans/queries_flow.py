@@ -34,14 +34,14 @@ def claim_sources_filter(t, spark, sf):
     return x.select("conv_id", F.array_join(provenance.clean_sources(F.col("ids"), known).cast("array<string>"), ",").alias("sources"))
 
 
-@query("""WITH x AS (SELECT doc_id, '===== PAGE 1 =====' || chr(10) || left(text, 150) || chr(10) || '===== PAGE 2 =====' || chr(10) || text AS text, CASE WHEN doc_id % 2 = 0 THEN upper(text[160:190]) ELSE 'zzqq' END AS ev FROM documents WHERE length(text) > 400),
+@query("""WITH x AS (SELECT doc_id, '===== PAGE 1 =====' || chr(10) || left(text, 150) || chr(10) || '===== PAGE 2 =====' || chr(10) || text AS text, CASE WHEN lang = 'en' THEN upper(text[160:190]) ELSE 'zzqq' END AS ev FROM documents WHERE length(text) > 400),
 y AS (SELECT *, strpos(lower(text), lower(trim(ev))) AS pos, text[1:strpos(lower(text), lower(trim(ev)))-1] AS before FROM x)
 SELECT doc_id, CASE WHEN pos > 0 THEN 'exact_text' ELSE 'not_located' END AS match, CASE WHEN pos > 0 THEN length(before) - length(replace(before, chr(10), '')) + 1 END AS line, CASE WHEN pos > 0 THEN regexp_extract_all(before, '===== PAGE ([0-9]+) =====', 1)[-1]::INT END AS page FROM y""")
 def evidence_locator(t, spark, sf):
     """D15, F5"""
     d = t("documents").where(F.length("text") > 400)
     text = F.concat(F.lit("===== PAGE 1 =====\n"), F.substring("text", 1, 150), F.lit("\n===== PAGE 2 =====\n"), F.col("text"))
-    ev = F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring("text", 160, 31))).otherwise("zzqq")
+    ev = F.when(F.col("lang") == "en", F.upper(F.substring("text", 160, 31))).otherwise("zzqq")
     return d.select("doc_id", provenance.locate(text, ev).alias("l")).select("doc_id", "l.match", F.col("l.line").cast("long").alias("line"), "l.page")
 
 
