@@ -149,6 +149,23 @@ class Hnsw:
                 entries = beam_search(vectors, self.layers[-1], vectors, entries, 4)[0][:, :1]
             self.layers.append(build_layer(vectors, members, entries, links * (1 if up else 2), ef))
 
+    def rows(self) -> list[list[np.ndarray]]:
+        """Each node's neighbours by layer, from the top one down; none in layers it isn't in."""
+        return [[g[k][g[k] >= 0] for g in self.layers] for k in range(len(self.vectors))]
+
+    @classmethod
+    def restored(cls, vectors: np.ndarray, rows: list, top: int) -> Hnsw:
+        out = cls.__new__(cls)
+        out.vectors, out.top, out.layers = vectors, np.array([top]), []
+        for layer in range(len(rows[0])):
+            sizes = np.fromiter((len(r[layer]) for r in rows), dtype=np.int64, count=len(rows))
+            graph = np.full((len(rows), max(int(sizes.max()), 1)), -1, dtype=np.int32)
+            who = np.repeat(np.arange(len(rows)), sizes)
+            if len(who):
+                graph[who, np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.concatenate([np.asarray(r[layer]) for r in rows])
+            out.layers.append(graph)
+        return out
+
     def descend(self, queries: np.ndarray) -> np.ndarray:
         entries = np.broadcast_to(self.top, (len(queries), 1))
         for graph in self.layers[:-1]:

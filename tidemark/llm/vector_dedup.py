@@ -1,7 +1,7 @@
 """Near-duplicate vectors: an HNSW graph per shard, every shard queried, beams widened until recall audits pass.
 
-Equal vectors form classes first. Classes are dealt to shards by hash; a task builds a shard's graph, and tasks for
-(shard, block of queries) search it with all vectors. A query's beam is doubled while it is full of vectors over the
+Equal vectors form classes first. Classes are dealt to shards by hash; a task builds a shard's graph once and writes it
+as rows, and tasks for (shard, block of queries) read it and search it with all vectors. A query's beam is doubled while it is full of vectors over the
 threshold, so no number of near neighbours is cut off; and in each task a sample of queries is held against brute
 force over the shard: while their recall is below the target, the beams of the whole block are doubled, at last to
 the shard's size. Cosines are then computed in double precision, and only pairs that pass count. A task returns
@@ -63,15 +63,22 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = 5
     rows = usable(vectors)
     same = materialize(classes(rows), "vec-classes")
     dealt, shards = sharded(same, shard_rows, shards)
-    dealt = materialize(dealt, "vec-shards")
+
+    def build(base: pd.DataFrame) -> pd.DataFrame:
+        base = base.sort_values("cid")
+        index = Hnsw(unit(stack(base["v"])), links=links, ef=ef)
+        return base.assign(pos=np.arange(len(base)), near=index.rows(), top=np.arange(len(base)) == index.top[0])[["shard", "cid", "n", "v", "pos", "near", "top"]]
+
+    schema = "shard int, cid long, n long, v array<double>, pos int, near array<array<int>>, top boolean"
+    dealt = materialize(dealt.groupBy("shard").applyInPandas(build, schema), "vec-graphs")
     blocks = max(1, -(-same.count() // block_rows))
 
     def search(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(asked):
             return pd.DataFrame({"cid": [], "n_links": [], "root": []})
-        base, asked = base.sort_values("cid"), asked.sort_values("cid")
+        base, asked = base.sort_values("pos"), asked.sort_values("cid")
         own, other = stack(base["v"]), stack(asked["v"])
-        index = Hnsw(unit(own), links=links, ef=ef)
+        index = Hnsw.restored(unit(own), base["near"].tolist(), int(base["pos"].to_numpy()[base["top"].to_numpy()][0]))
         found = audited_links(index, unit(other), threshold, ef, audits, target)
         q = np.repeat(np.arange(len(found)), [len(f) for f in found])
         c = np.concatenate(found) if len(q) else np.zeros(0, dtype=np.int64)
