@@ -60,7 +60,7 @@ def audited_links(index: Hnsw, queries: np.ndarray, threshold: float, ef: int, a
 def link_vectors(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = 50_000, shards: int = 6, block_rows: int = 10_000,
                  links: int = 16, ef: int = 64, audits: int = 64, target: float = 0.995) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding)."""
-    rows = usable(vectors)
+    rows, rest = usable(vectors)
     same = materialize(classes(rows), "vec-classes")
     dealt, shards = sharded(same, shard_rows, shards)
 
@@ -110,9 +110,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = 5
     placed = materialize(rows.join(of_class, "v").select("vec_id", "uid", (F.col("_l") + F.col("n") - 1).alias("n_links"), F.col("_g")), "vec-placed")
     least = placed.groupBy("_g").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("_size"))
     good = placed.join(least, "_g").select("vec_id", "n_links", "component_id", "_size")
-    bad = vectors.select("vec_id", F.monotonically_increasing_id().alias("uid")).join(placed.select("uid"), "uid", "left_anti").select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("_size")
-    )
+    bad = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("_size"))
     return good.unionByName(bad).select(
         "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("_size") == 1).alias("kept")
     )

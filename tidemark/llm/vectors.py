@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import materialize
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """uid, vec_id and v (array of double) of the rows whose vector is not null, empty, zero or holding null or
-    non-finite components, and whose dimension is the table's usual one (of equals, the smallest)."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("uid", F.monotonically_increasing_id())
-    fine = rows.where(
+def usable(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that take part, the rest), with uid, vec_id and v (array of double): out are vectors that are null, empty, zero
+    or hold null or non-finite components, and those not of the table's usual dimension (of equals, the smallest). All rows
+    get their uid in one written table, so it names the same row wherever it is read."""
+    fine = F.coalesce(
         (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists("v", lambda x: x != 0)
+        & F.exists("v", lambda x: x != 0),
+        F.lit(False),
     )
-    rows = materialize(fine, "vectors")
-    sizes = sorted((-r["n"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
-    return rows.where(F.size("v") == (sizes[0][1] if sizes else 0))
+    tagged = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("uid", F.monotonically_increasing_id())
+    rows = materialize(tagged.withColumn("_fine", fine), "vectors")
+    sizes = sorted((-r["n"], r["d"]) for r in rows.where("_fine").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+    part = F.col("_fine") & (F.coalesce(F.size("v"), F.lit(-1)) == (sizes[0][1] if sizes else 0))
+    return rows.where(part).drop("_fine"), rows.where(~part).drop("_fine")
 
 
 def classes(rows: DataFrame, members: int = 0) -> DataFrame:
