@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import bounded_batches
 from tidemark.llm.textcore import LOWER, buffer_of
 
 UNKNOWN = "und"
-BLOCK_BYTES, BLOCK_ROWS = 2_000_000, 64
+BLOCK_BYTES, BLOCK_ROWS = 1_000_000, 64
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
         ridge: float = 1e-2, spectrum: Spectrum | None = None) -> Model:
     """Learn from the text and lang of the rows of ``docs`` where ``learn_from`` holds."""
     spectrum = spectrum or Spectrum()
+    bounded_batches(docs.sparkSession)
     sample = training_sample(docs, F.lit(True) if learn_from is None else learn_from, per_language)
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +157,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns in ``keep``, by default all) with ``lang_pred`` and ``score``."""
+    bounded_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the corpus
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema

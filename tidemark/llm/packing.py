@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import materialize
 
 
+#: Characters encoded at a time: what a worker holds besides its batch is some sixty times as many bytes.
+SLICE = 1_000_000
+
+
 class TightestFit:
     """A segment tree over remaining capacities 0..capacity: which has open bins, found in O(log capacity)."""
 
@@ -175,7 +179,7 @@ class FastBytePairs:
 
     def lookup(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each distinct pre-token stand in ``flat``, and how many they are; new ones are encoded."""
-        if len(self.keys) > 2_000_000:
+        if len(self.keys) > 500_000:
             self.forget()
         place = np.searchsorted(self.keys, keys)
         new = np.append(self.keys, np.uint64(0))[place] != keys
@@ -217,9 +221,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing:
             _encoders[tokenizer] = FastBytePairs(tokenizer)
         encoder = _encoders[tokenizer]
         for batch in batches:
-            texts, lengths = pc.fill_null(batch.column("text"), ""), None
+            texts = pc.fill_null(batch.column("text"), "")
             lengths = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-            cuts = [0, *np.searchsorted(lengths, np.arange(4_000_000, lengths[-1] if len(lengths) else 0, 4_000_000)).tolist(), len(texts)]
+            cuts = [0, *np.searchsorted(lengths, np.arange(SLICE, lengths[-1] if len(lengths) else 0, SLICE)).tolist(), len(texts)]
             ids_of = batch.column("doc_id")
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi <= lo:

@@ -17,7 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session at ``BATCH_ROWS`` rows at most: a batch of whole texts stands in memory
+    several times over, in the JVM and in each Python worker. The caller runs the plan later, so the setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
+    bounded_batches(spark)
     return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 

@@ -48,7 +48,7 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1_500_000) -> list[tuple[int, int]]:
     """Row ranges of about ``most`` bytes: the working arrays of one range are some twenty times its bytes."""
     sizes = pc.binary_length(pc.fill_null(column, "").cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
