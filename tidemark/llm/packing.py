@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -114,14 +115,13 @@ class FastBytePairs:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            parts = json.load(f)
+        model, special = parts["model"], {t["content"] for t in parts.get("added_tokens", ())}
+        del parts
         letters = _byte_letters()
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
         ranks = {bytes(letters[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         letter, number, space = (np.zeros(self.SAFE, dtype=bool) for _ in range(3))
@@ -132,6 +132,15 @@ class FastBytePairs:
         self.kind = np.select([letter, number, space], [1, 2, 0], 3).astype(np.uint8)
         self.forget()
 
+    @cached_property
+    def slow(self):
+        """The tokenizers library's own encoder: loaded only by a worker that meets a text that needs it."""
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.path)
+        slow.encode_special_tokens = True
+        return slow
+
     def cut(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin, for concatenated texts whose code points are all below SAFE."""
         kind = self.kind[points]
