@@ -262,6 +262,54 @@ def test_op8_paths_agree_and_learn(spark):
     assert all(0 <= r.score <= 1 for r in score_toxicity(docs, known.where("false"), learn).collect())
 
 
+def test_op8_rare_expressions_against_brute_force(spark):
+    from tidemark.llm.toxicity import score_toxicity
+
+    rng = random.Random(9)
+    stock = words(rng, 300).split()  # few enough that no two words' hashes meet
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 10 == 0
+        w = rng.choices(stock, k=40)
+        if toxic:
+            w[7], w[21] = f"rare{k // 10 % 20}", f"odd{k // 10 % 20}"  # three texts each, of which two are learnt from at most
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learn = (F.col("doc_id") / 10).cast("long") < 40
+    got = {r.doc_id: r for r in score_toxicity(docs, known, learn).collect()}
+
+    counts = Counter()
+    for k, text in rows:
+        w = ["<s>", *text.split()]
+        if k < 400:
+            counts.update((labels[k][1], h, v) for h, v in zip(w, w[1:]))
+    pairs = {x[1:] for x in counts}
+    said, after, before, met, met_all = Counter(), Counter(), Counter(), Counter(), Counter()
+    for (c, h, v), n in counts.items():
+        said[c, v] += n
+        after[c, h] += n
+        met[c, h] += 1
+    for h, v in pairs:
+        before[v] += 1
+        met_all[h] += 1
+    size, types = [sum(n for x, n in said.items() if x[0] == c) for c in (0, 1)], [len({x[1] for x in said if x[0] == c}) for c in (0, 1)]
+
+    def chance(c, h, v):
+        one = max(said[c, v] - 0.75, 0) / size[c] + 0.75 * types[c] / size[c] * (before[v] or 1) / len(pairs)
+        n = after[0, h] + after[1, h]
+        pooled = max(counts[0, h, v] + counts[1, h, v] - 0.75, 0) / n + 0.75 * met_all[h] / n * one if n else one
+        return max(counts[c, h, v] - 0.75, 0) / after[c, h] + 0.75 * met[c, h] / after[c, h] * pooled if after[c, h] else pooled
+
+    for k, text in rows:
+        w = ["<s>", *text.split()]
+        ratio = sum(math.log(chance(1, h, v) / chance(0, h, v)) for h, v in zip(w, w[1:]))
+        assert abs(got[k].llr - ratio) < 1e-6 * max(1, abs(ratio))
+    held = [(got[k].score, labels[k][1]) for k in range(400, 600)]
+    marked, clean = [s for s, t in held if t], [s for s, t in held if not t]
+    assert np.mean([a > b for a in marked for b in clean]) > 0.9
+
+
 def test_op9_plan_is_best_fit_decreasing():
     from tidemark.llm.packing import plan_packing
 

@@ -1,14 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney bigram models with shared backoff.
 
 Counts of word bigrams are gathered from every labelled training document, by class, with a sum inside each batch
-before the shuffle. A class's bigram model discounts its own counts and backs off to its unigram model; that one backs
-off to continuation counts (in how many different contexts a word stands) which both classes share, with the shared
-backoff weights of the pooled counts. So an expression that the classes do not tell apart, above all a rare one, has
-the same probability in both and says nothing: class counts are kept only where the likelihood-ratio statistic G2 of
-the count split passes ``evidence``; all else is left to the shared counts. A text's score is a logistic function,
-fitted on training documents, of the log-likelihood ratio by word (length-normalised) and of its total.
-
-The kept expressions are broadcast only if they are at most ``broadcast_rows``; beyond that a text's expressions are
+before the shuffle. A class's bigram model discounts its own counts and backs off to the discounted pooled counts of
+both classes, then to its own unigram model, and that one to continuation counts (in how many different contexts a word
+stands) which both classes share. So a bigram that a class has not met takes the pooled probability, and a rare one
+tells the classes apart as far as its counts do: every word and bigram is scored, none is selected. A text's
+log-likelihood ratio is the sum over all its words of the logarithms of the two models' quotient. It is summed in two
+parts, since a few well-attested expressions drown in what very many rare ones add up to: the part of expressions whose
+likelihood-ratio statistic G2 of the count split passes ``evidence``, and the part of all others. The score is a
+logistic function of both, each by word (length-normalised) and in total. It is fitted on training documents by
+expressions counted without them, since a document's own counts would speak for its label.
+
+The expressions are broadcast only if they are at most ``broadcast_rows``; beyond that a text's expressions are
 joined with them in a shuffle and summed, with the same result. Counting and scoring read whole texts.
 
 Defined cases: null and empty texts have no words and get the prior's score; labels that are null are no labels; of
@@ -57,21 +60,24 @@ def parts_of(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.Record
 
 
 def bigram_counts(labelled: DataFrame) -> DataFrame:
-    """pair with ``t`` and ``o``: its count in toxic and in other documents."""
+    """pair with ``t`` and ``o``, its count in toxic and in other documents, and ``ft`` and ``fo``, those where ``fitted``."""
+    made = ["t", "o", "ft", "fo"]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, "text"):
             words, bounds = word_hashes(batch.column("text"))
             if not len(words):
                 continue
-            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False) > 0, np.diff(bounds))
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+            fitted = batch.column("fitted").to_numpy(zero_copy_only=False).astype(bool)
+            kind = np.repeat(toxic + 2 * fitted, np.diff(bounds))
             pairs, which = np.unique(pair_keys(contexts(words, bounds), words), return_inverse=True)
-            t = np.bincount(which, weights=toxic, minlength=len(pairs)).astype(np.int64)
-            n = np.bincount(which, minlength=len(pairs))
-            yield pa.record_batch([pa.array(pairs.view(np.int64)), pa.array(t), pa.array(n - t)], names=["pair", "t", "o"])
+            k = np.bincount(which * 4 + kind, minlength=4 * len(pairs)).reshape(-1, 4)
+            values = [k[:, 1] + k[:, 3], k[:, 0] + k[:, 2], k[:, 3], k[:, 2]]
+            yield pa.record_batch([pa.array(pairs.view(np.int64)), *(pa.array(v.astype(np.int64)) for v in values)], names=["pair", *made])
 
-    rows = labelled.select("text", "toxic").mapInArrow(count, "pair long, t long, o long")
-    return rows.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    rows = labelled.select("text", "toxic", "fitted").mapInArrow(count, "pair long, " + ", ".join(f"{c} long" for c in made))
+    return rows.groupBy("pair").agg(*[F.sum(c).alias(c) for c in made])
 
 
 def _g2(t: Column, o: Column, share: Column) -> Column:
@@ -81,80 +87,94 @@ def _g2(t: Column, o: Column, share: Column) -> Column:
     return 2 * (part(t, n * share) + part(o, n * (1 - share)))
 
 
-def fit_expressions(labelled: DataFrame, discount: float = 0.75, evidence: float = 15.0) -> DataFrame:
-    """kind (1 word, 2 bigram), key and llr: the expressions whose class counts matter."""
-    pairs = materialize(bigram_counts(labelled), "tox-pairs")
-    word, head = F.shiftrightunsigned("pair", HEAD_BITS), F.col("pair").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))
-    words = materialize(
-        pairs.groupBy(word.alias("w")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("cont")), "tox-words"
-    )
-    total = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("cont").alias("cont"), F.count(F.lit(1)).alias("types")).first()
-    if not total["t"] or not total["o"]:
-        return words.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.lit(0.0).alias("llr")).where(F.lit(False))
-    nt, no, share = float(total["t"]), float(total["o"]), total["t"] / (total["t"] + total["o"])
-    back = discount * total["types"] / (nt + no)
-
-    def unigram(n: str, of: float) -> Column:
-        return F.greatest(F.col(n) - discount, F.lit(0.0)) / of + back * F.col("cont") / float(total["cont"])
+def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float = 15.0) -> DataFrame:
+    """kind, key and llr of every expression of ``pairs``, and whether it is ``strong`` (well attested).
 
-    scored = words.withColumns({"pt": unigram("t", nt), "po": unigram("o", no)})
-    ones = scored.where(_g2(F.col("t"), F.col("o"), F.lit(share)) >= evidence).select(
-        F.lit(1).alias("kind"), F.col("w").alias("key"), F.log(F.col("pt") / F.col("po")).alias("llr")
-    )
-    # A bigram is held against what its second word alone says.
-    heads = pairs.groupBy(head.alias("h")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count(F.lit(1)).alias("hn"))
-    likely = pairs.where(F.col("t") + F.col("o") >= 3).withColumns({"w": word, "h": head})
-    tail = scored.where("t + o >= 3").select("w", F.col("t").alias("wt"), F.col("o").alias("wo"), "pt", "po")
-    joined = likely.join(tail, "w").withColumn("ws", (F.col("wt") + share) / (F.col("wt") + F.col("wo") + 1))
-    strong = joined.where(_g2(F.col("t"), F.col("o"), F.col("ws")) >= evidence)
-    lam = discount * F.col("hn") / (F.col("ht") + F.col("ho"))
-    prob = lambda n, of, p: F.greatest(F.col(n) - discount, F.lit(0.0)) / F.greatest(F.col(of), F.lit(1)) + lam * F.col(p)
-    twos = strong.join(heads, "h").select(
-        F.lit(2).alias("kind"), F.col("pair").alias("key"), F.log(prob("t", "ht", "pt") / prob("o", "ho", "po")).alias("llr")
-    )
-    return materialize(ones.unionByName(twos), "tox-expressions")
+    All pairs are counted; bigrams are given only where ``used``, that is where a text to be scored can have them.
+    A bigram (2) that was counted speaks for its second word alone; any other is its head (3) and its second word (1)
+    together, where a head never counted says nothing and a word never counted speaks as the one row of kind 0 does.
+    """
+    pairs = pairs.withColumns({"w": F.shiftrightunsigned("pair", HEAD_BITS), "h": F.col("pair").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))})
+    # How many different expressions a class has met, for the weight of its backoff.
+    met = [F.count_if(F.col("t") > 0).alias("mt"), F.count_if(F.col("o") > 0).alias("mo"), F.count(F.lit(1)).alias("cont")]
+    sums = [F.sum("t").alias("t"), F.sum("o").alias("o")]
+    words = materialize(pairs.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("cont")), "tox-words")
+    total = words.agg(*sums, F.sum("cont").alias("cont"), F.count_if(F.col("t") > 0).alias("mt"), F.count_if(F.col("o") > 0).alias("mo")).first()
+    if not total["t"] or not total["o"]:
+        return words.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.lit(0.0).alias("llr"), F.lit(False).alias("strong")).where(F.lit(False))
+    share = total["t"] / (total["t"] + total["o"])
+    back = {c: discount * total[f"m{c}"] / total[c] for c in "to"}
+    left = lambda n: F.greatest(n - discount, F.lit(0.0))
+    scored = words.withColumns({f"p{c}": left(F.col(c)) / float(total[c]) + back[c] * F.col("cont") / float(total["cont"]) for c in "to"})
+    ones = scored.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.log(F.col("pt") / F.col("po")).alias("llr"), (_g2(F.col("t"), F.col("o"), F.lit(share)) >= evidence).alias("strong"))
+    heads = pairs.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), *met)
+    heads = heads.withColumns({
+        "lt": F.when(F.col("ht") > 0, discount * F.col("mt") / F.col("ht")).otherwise(1.0),
+        "lo": F.when(F.col("ho") > 0, discount * F.col("mo") / F.col("ho")).otherwise(1.0),
+        "hn": F.col("ht") + F.col("ho"), "lam": discount * F.col("cont") / (F.col("ht") + F.col("ho")),
+    }).drop("mt", "mo", "cont")
+    heads = materialize(heads, "tox-heads")
+    threes = heads.select(F.lit(3).alias("kind"), F.col("h").alias("key"), F.log(F.col("lt") / F.col("lo")).alias("llr"), F.lit(False).alias("strong"))
+    # A bigram's evidence is held against what its second word alone says.
+    tail = scored.select("w", "pt", "po", ((F.col("t") + share) / (F.col("t") + F.col("o") + 1)).alias("ws"))
+    joined = pairs.where("used").join(tail, "w").join(heads, "h")
+    sure = (F.col("t") + F.col("o") >= 3) & (_g2(F.col("t"), F.col("o"), F.col("ws")) >= evidence)
+    pooled = left(F.col("t") + F.col("o")) / F.col("hn")
+    prob = {c: left(F.col(c)) / F.greatest(F.col(f"h{c}"), F.lit(1)) + F.col(f"l{c}") * (pooled + F.col("lam") * F.col(f"p{c}")) for c in "to"}
+    twos = joined.select(F.lit(2).alias("kind"), F.col("pair").alias("key"), F.log(prob["t"] / prob["o"]).alias("llr"), sure.alias("strong"))
+    none = pairs.sparkSession.range(1).select(F.lit(0).alias("kind"), F.col("id").alias("key"), F.lit(float(np.log(back["t"] / back["o"]))).alias("llr"), F.lit(False).alias("strong"))
+    return materialize(ones.unionByName(twos).unionByName(threes).unionByName(none), "tox-expressions")
 
 
 class Table:
-    """Sorted keys with their log-likelihood ratios."""
-
-    def __init__(self, rows) -> None:
-        two = rows["kind"].to_numpy() == 2
-        keys, llr = rows["key"].to_numpy(dtype=np.int64).view(np.uint64), rows["llr"].to_numpy(dtype=np.float64)
-        self.parts = []
-        for part in (~two, two):
-            order = np.argsort(keys[part])
-            self.parts.append((keys[part][order], llr[part][order]))
-
-    def look(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, value = self.parts[part]
+    """Sorted keys of each kind with their log-likelihood ratios."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        kind, keys = rows["kind"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
+        llr, strong = rows["llr"].to_numpy(), rows["strong"].to_numpy()
+        self.unseen = float(llr[kind == 0].sum())
+        self.parts = {}
+        for k in (1, 2, 3):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(keys[own])]
+            self.parts[k] = (keys[own], llr[own], strong[own])
+
+    def look(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are known, their ratios, and which are strong."""
+        known, value, strong = self.parts[part]
         if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
+            return np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         hit = known[at] == keys
-        return hit, np.where(hit, value[at], 0.0)
-
-    def sums(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The log-likelihood ratio of each text: a kept bigram speaks for its second word."""
-        _, one = self.look(0, tails(words))
-        hit, two = self.look(1, pair_keys(contexts(words, bounds), words)) if len(words) else (np.zeros(0, bool), one)
-        upto = np.concatenate([[0.0], np.cumsum(np.where(hit, two, one))])
-        return upto[bounds[1:]] - upto[bounds[:-1]]
+        return hit, np.where(hit, value[at], 0.0), hit & strong[at]
+
+    def sums(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-likelihood ratio of each text, and the strong expressions' part of it."""
+        if not len(words):
+            return np.zeros(len(bounds) - 1), np.zeros(len(bounds) - 1)
+        pairs, which = np.unique(pair_keys(contexts(words, bounds), words), return_inverse=True)
+        seen, one, one_strong = self.look(1, tails(pairs))
+        hit, two, two_strong = self.look(2, pairs)
+        head = self.look(3, pairs & np.uint64((1 << HEAD_BITS) - 1))[1]
+        full = np.where(hit, two, np.where(seen, one, self.unseen) + head)
+        strong = np.where(two_strong, two, np.where(one_strong, one, 0.0))
+        upto = [np.concatenate([[0.0], np.cumsum(x[which])]) for x in (full, strong)]
+        return tuple(x[bounds[1:]] - x[bounds[:-1]] for x in upto)
 
 
 def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], broadcast_rows: int = 4_000_000) -> DataFrame:
-    """``keep`` of every row of ``docs`` with ``llr`` (summed over its words) and ``n`` (its words)."""
+    """``keep`` of every row of ``docs`` with ``llr`` (summed over its words), ``strong`` (part of it) and ``n`` (its words)."""
     spark = docs.sparkSession
-    schema = docs.select(*keep).withColumns({"llr": F.lit(0.0), "n": F.lit(0).cast("long")}).schema
+    schema = docs.select(*keep).withColumns({"llr": F.lit(0.0), "strong": F.lit(0.0), "n": F.lit(0).cast("long")}).schema
     source = docs.select(*keep, F.col("text").alias("_text"))
     if expressions.count() <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(Table(expressions.toArrow().to_pandas()))
+        shared = spark.sparkContext.broadcast(Table(expressions.toArrow()))
 
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in parts_of(batches, "_text"):
                 words, bounds = word_hashes(batch.column("_text"))
-                values = [pa.array(shared.value.sums(words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
-                yield pa.record_batch([*(batch.column(c) for c in keep), *values], names=[*keep, "llr", "n"])
+                values = [*map(pa.array, shared.value.sums(words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
+                yield pa.record_batch([*(batch.column(c) for c in keep), *values], names=[*keep, "llr", "strong", "n"])
 
         return source.mapInArrow(score, schema)
     rows = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "tox-rows")
@@ -167,19 +187,25 @@ def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], broadcast_r
             yield pa.record_batch([pa.array(row), pa.array(pair.view(np.int64))], names=["_row", "pair"])
 
     said = rows.select("_row", "_text").mapInArrow(spread, "_row long, pair long").groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("k"))
-    one = expressions.where("kind = 1").select(F.col("key").alias("w"), F.col("llr").alias("_one"))
-    two = expressions.where("kind = 2").select(F.col("key").alias("pair"), F.col("llr").alias("_two"))
+    table = lambda kind, key, name: expressions.where(F.col("kind") == kind).select(
+        F.col("key").alias(key), F.col("llr").alias(name), F.col("strong").alias(name + "_strong")
+    )
+    none = expressions.where("kind = 0").first()
+    apart = F.coalesce("_one", F.lit(none["llr"] if none else 0.0)) + F.coalesce("_head", F.lit(0.0))
+    strong = F.when(F.col("_two_strong"), F.col("_two")).when(F.col("_one_strong"), F.col("_one")).otherwise(0.0)
+    said = said.withColumns({"w": F.shiftrightunsigned("pair", HEAD_BITS), "h": F.col("pair").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))})
     summed = (
-        said.withColumn("w", F.shiftrightunsigned("pair", HEAD_BITS)).join(one, "w", "left").join(two, "pair", "left").groupBy("_row")
-        .agg(F.sum(F.coalesce("_two", "_one", F.lit(0.0)) * F.col("k")).alias("llr"), F.sum("k").alias("n"))
+        said.join(table(1, "w", "_one"), "w", "left").join(table(3, "h", "_head"), "h", "left").join(table(2, "pair", "_two"), "pair", "left").groupBy("_row")
+        .agg(F.sum(F.coalesce(F.col("_two"), apart) * F.col("k")).alias("llr"), F.sum(strong * F.col("k")).alias("strong"), F.sum("k").alias("n"))
     )
-    return rows.drop("_text").join(summed, "_row", "left").select(*keep, F.coalesce("llr", F.lit(0.0)).alias("llr"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    ratios = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("llr", "strong")]
+    return rows.drop("_text").join(summed, "_row", "left").select(*keep, *ratios, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def features(llr, n):
-    """Bias, ratio by word, total damped by length, and total."""
-    n1 = np.maximum(n, 1.0)
-    return np.stack([np.ones_like(llr), 10 * llr / n1, llr / np.sqrt(n1), np.tanh(llr / 8.0)], axis=1)
+def features(llr, strong, n):
+    """Bias, and of the strong expressions' ratio and the others': by word, damped by length, and total."""
+    n1, rest = np.maximum(n, 1.0), llr - strong
+    return np.stack([np.ones_like(llr), *(f for x in (strong, rest) for f in (10 * x / n1, x / np.sqrt(n1), np.tanh(x / 8.0)))], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -199,22 +225,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
 
     ``learn_from`` is a condition on doc_id. The logistic function is fitted on about ``fit_rows`` labelled documents.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("llr", "n", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("llr", "strong", "n", "score")]
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn_from).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = materialize(known, "tox-labels")
     size = known.count()
     side = F.broadcast(known) if size <= label_broadcast_rows else known
     labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(side, "doc_id")
-    expressions = fit_expressions(labelled)
-    near = (F.xxhash64(F.lit("fit"), F.col("doc_id")) / F.lit(2.0**64)) + 0.5 < fit_rows / max(1, size)
-    sample = totals(labelled.where(near), expressions, ["doc_id", "toxic"], broadcast_rows).toArrow().to_pandas()
+    # The rows of the logistic step are at most about a fifth, so that the others' counts can stand for them.
+    near = (F.xxhash64(F.lit("fit"), F.col("doc_id")) / F.lit(2.0**64)) + 0.5 < min(0.2, fit_rows / max(1, size))
+    pairs = materialize(bigram_counts(labelled.withColumn("fitted", near)), "tox-pairs")
+    expressions = fit_expressions(pairs.select("pair", "t", "o", F.lit(True).alias("used")))
+    others = pairs.select("pair", (F.col("t") - F.col("ft")).alias("t"), (F.col("o") - F.col("fo")).alias("o"), (F.col("ft") + F.col("fo") > 0).alias("used")).where("t + o > 0")
+    sample = totals(labelled.where(near), fit_expressions(others), ["doc_id", "toxic"], broadcast_rows).toArrow().to_pandas()
+    if not sample["llr"].any() or len(set(sample["toxic"] > 0)) < 2:  # the others, or too few rows, tell the classes apart nowhere
+        sample = totals(labelled.where(near) if size > fit_rows else labelled, expressions, ["doc_id", "toxic"], broadcast_rows).toArrow().to_pandas()
     y = (sample["toxic"].to_numpy(dtype=float) > 0).astype(float)
-    order = np.lexsort((sample["llr"], sample["n"], sample["doc_id"]))
+    order = np.lexsort((sample["strong"], sample["llr"], sample["n"], sample["doc_id"]))
     if len(y) and 0 < y.mean() < 1:
-        beta = fit_logistic(features(sample["llr"].to_numpy(float), sample["n"].to_numpy(float))[order], y[order])
+        beta = fit_logistic(features(*(sample[c].to_numpy(float) for c in ("llr", "strong", "n")))[order], y[order])
     else:
         mean = min(max(y.mean() if len(y) else 0.0, 1e-6), 1 - 1e-6)
-        beta = np.array([np.log(mean / (1 - mean)), 0.0, 0.0, 0.0])
-    n1, llr = F.greatest(F.col("n"), F.lit(1)), F.col("llr")
-    logit = beta[0] + beta[1] * 10 * llr / n1 + beta[2] * llr / F.sqrt(n1) + beta[3] * F.tanh(llr / 8.0)
-    return totals(docs, expressions, keep, broadcast_rows).withColumn("score", 1 / (1 + F.exp(-logit)))
+        beta = np.array([np.log(mean / (1 - mean)), *[0.0] * 6])
+    n1, strong = F.greatest(F.col("n"), F.lit(1)), F.col("strong")
+    parts = [f for x in (strong, F.col("llr") - strong) for f in (10 * x / n1, x / F.sqrt(n1), F.tanh(x / 8.0))]
+    logit = sum((float(b) * f for b, f in zip(beta[1:], parts)), F.lit(float(beta[0])))
+    return totals(docs, expressions, keep, broadcast_rows).withColumn("score", 1 / (1 + F.exp(-logit))).drop("strong")
