@@ -210,6 +210,44 @@ def test_op5_rules(spark, docs, empty):
     assert len(build_rules()) > 200 and scan_licenses(empty).count() == 0 and scan_licenses(docs).count() == docs.count()
 
 
+def test_op5_alternatives_pass_their_keywords(spark):
+    from tidemark.llm.licenses import STEM_PATTERN, build_rules, scan_licenses
+
+    def texts(pattern):
+        """Every text of a pattern, digits and bracketed characters by their first."""
+        out, at = [""], 0
+        options = []
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern.startswith("(?:", at):
+                inner, size = texts(pattern[at + 3 :])
+                at += size + 4
+            elif pattern[at] == "|":
+                options, out, at = options + out, [""], at + 1
+                continue
+            elif pattern[at] == "[":
+                inner, at = [pattern[at + 1]], pattern.index("]", at) + 1
+            elif pattern[at] == chr(92):
+                inner, at = ["0"], at + 2
+            else:
+                inner, at = [pattern[at]], at + 1
+            if pattern[at : at + 1] == "?":
+                inner, at = [*inner, ""], at + 1
+            out = [x + y for x in out for y in inner]
+        return options + out, at
+
+    gate = re.compile(STEM_PATTERN)
+    for rule in build_rules():
+        found, size = texts(rule.pattern)
+        assert size == len(rule.pattern)
+        for text in found:
+            assert re.fullmatch(rule.pattern, text), (rule.pattern, text)
+            assert any(key in f" {text} " for key in rule.keyword.split("|")), (rule.label, text)
+            assert gate.search(f" {text} "), (rule.label, text)
+    cases = {"reproduction is strictly prohibited": "no-redistribution", "do what the fuck you want to public license": "wtfpl", "responsible ai license": "openrail"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    assert [{d.label for d in r.kept} for r in scan_licenses(df).orderBy("doc_id").collect()] == [{x} for x in cases.values()]
+
+
 def test_op6_round_trip(spark):
     from tidemark.llm.warc import read_records, write_bundles
 

@@ -73,7 +73,7 @@ NAMES = [
     ("boost-1.0", "boost", r"boost software(?: license(?: version)? 1 0)?", "bsl 1 0"),
     ("busl-1.1", "business source", r"business source(?: license(?: version)? 1 1)?", "busl 1 1"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtf", "do what the fuck you want to public|wtfpl", "wtfpl"),
+    ("wtfpl", "wtf|what the fuck", "do what the fuck you want to public|wtfpl", "wtfpl"),
     ("psf-2.0", "python", r"python software foundation(?: license(?: version)? 2)?", "psf 2 0"),
     ("python-2.0", "python", r"python license(?: version)? 2 0", "python 2 0"),
     ("php-3.01", "php", r"php license(?: version)?(?: 3 01?)?", "php 3 01"),
@@ -95,7 +95,7 @@ NAMES = [
     ("zpl-2.1", "zope", "zope public(?: license version 2 1)?", "zpl 2 1"),
     ("sspl-1.0", "server side|sspl", "server side public|sspl", "sspl 1 0"),
     ("elastic-2.0", "elastic", r"elastic license(?: v| version)? ?2(?: 0)?", "elastic 2 0"),
-    ("openrail", "rail", r"(?:creativeml |bigscience )?(?:open ?rail(?: m)?|responsible ai)", "openrail"),
+    ("openrail", "rail|responsible ai", r"(?:creativeml |bigscience )?(?:open ?rail(?: m)?|responsible ai)", "openrail"),
     ("llama-community", "llama", r"llama(?: [23](?: [0-9])?)? community", "llama"),
     ("cecill-2.1", "cecill", r"cecill(?: 2 1| v2 1)?", "cecill 2 1"),
     ("json", "json", "json", "json"),
@@ -118,7 +118,7 @@ NOTICES = [
     ("public-domain", "domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain|public domain dedication"),
     ("proprietary", "confidential", "proprietary and confidential|confidential and proprietary"),
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?(?: by)?"),
-    ("no-redistribution", "distribut", "(?:redistribution|distribution|reproduction) (?:is )?(?:strictly )?(?:prohibited|forbidden)|do not distribute|not for (?:re)?distribution"),
+    ("no-redistribution", "distribut|reproduction", "(?:redistribution|distribution|reproduction) (?:is )?(?:strictly )?(?:prohibited|forbidden)|do not distribute|not for (?:re)?distribution"),
     ("permissive-grant", "permission", "permission is hereby granted free of charge to any person|permission to use copy modify and(?: or)? distribute this"),
     ("bsd-conditions", "redistribution", "redistribution and use in source and binary forms"),
     ("copyleft-grant", "redistribute", "you can redistribute it and or modify it under the terms of"),
@@ -163,7 +163,7 @@ def build_rules() -> list[Rule]:
 
 #: Every rule's match has one of these in the lower-cased text. One pass of one pattern is the cheapest gate of all.
 STEM_PATTERN = (
-    "licen|spdx|under|copyright|reserved|domain|confidential|distribut|permission|warrant|research|commercial|fair"
+    "licen|spdx|under|copyright|reserved|domain|confidential|distribut|permission|warrant|research|commercial|fair|reproduction"
     f"|cc{GAP}by|cc ?zero|cc0|creative{GAP}commons|terms{GAP}"
 )
 
