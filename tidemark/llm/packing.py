@@ -108,7 +108,8 @@ class FastBytePairs:
 
     Texts are cut into the vocabulary's pre-tokens with array operations on code points, equal pre-tokens of a batch are
     encoded once, and the ids are gathered. Texts with characters outside the ranges whose classes are old and settled,
-    or with an apostrophe, go through the tokenizers library as they are; tests hold both ways against each other.
+    with an apostrophe, or with one of the vocabulary's added tokens go through the tokenizers library as they are; tests
+    hold both ways against each other.
     """
 
     SAFE = 0x250
@@ -119,7 +120,8 @@ class FastBytePairs:
         self.path = path
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        model, special = parts["model"], {t["content"] for t in parts.get("added_tokens", ())}
+        model, self.added = parts["model"], sorted(t["content"] for t in parts.get("added_tokens", ()))
+        special = set(self.added)
         del parts
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
@@ -137,9 +139,7 @@ class FastBytePairs:
         """The tokenizers library's own encoder: loaded only by a worker that meets a text that needs it."""
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(self.path)
-        slow.encode_special_tokens = True
-        return slow
+        return Tokenizer.from_file(self.path)
 
     def cut(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin, for concatenated texts whose code points are all below SAFE."""
@@ -166,6 +166,8 @@ class FastBytePairs:
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         strange = np.concatenate([[0], np.cumsum((points >= self.SAFE) | (points == 39))])
         odd = strange[offsets[1:]] > strange[offsets[:-1]]
+        for token in self.added:
+            odd |= np.fromiter((token in t for t in texts), dtype=bool, count=len(texts))
         for k in np.flatnonzero(odd).tolist():
             out[k] = np.asarray(self.slow.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
         plain = np.flatnonzero(~odd & (sizes > 0))
@@ -255,13 +257,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing:
 def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pieces with sequence_id and offset: gapless from 0 inside a sequence of at most ``capacity`` ids."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, closing, keep_ids), "pack-pieces")
-    # About 100,000 pieces a (length, bucket) at most, copies included: the bucket comes from all of a piece's marks.
+    cut = token_pieces(docs, tokenizer, capacity, closing, keep_ids)
+    pieces = materialize(cut.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
+    # About 100,000 pieces a (length, bucket) at most, copies included: the bucket comes from a piece's written row number.
     total = pieces.count()
     buckets = max(1, total // 100_000)
     payload = "ids" if keep_ids else "ids_crc32"
-    marks = ["doc_id", "piece", "start", payload]
-    bucketed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    marks = ["doc_id", "piece", "start", payload, "_row"]
+    bucketed = pieces.withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     counts = bucketed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begins = materialize(counts.withColumn("_begin", F.sum("_n").over(before) - F.col("_n")), "pack-begins")
