@@ -7,7 +7,7 @@ child by one multivariate hypergeometric draw, which is what a uniform random de
 draws. A shard then owns a range of draw numbers of every source; an affine permutation of a pass's blocks turns them
 into disjoint blocks, and the shard shuffles its documents locally.
 
-Only per-source totals (a row for each source) and the tree (sources x shards) are on the driver; documents stay
+Only per-source totals (a row for each source) and the top of the tree (512 nodes) are on the driver; documents stay
 distributed, and a source with a third of all rows is spread over as many tasks as its size asks for, because its
 order is cut into buckets by the leading part of the hash and only bucket totals are prefix-summed.
 
@@ -18,6 +18,7 @@ empty table; other columns are carried along, but for those named as the columns
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from math import gcd
 
 import numpy as np
@@ -54,14 +55,14 @@ def targets(sizes: dict, weights: dict, cap: float = 3.0) -> dict:
         fixed |= {s: cap * sizes[s] for s in over}
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Draws of each source for each shard (shards x sources); columns sum to the quotas exactly."""
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-
-    def node(lo: int, hi: int, left: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = left
-            return
+def subtrees(lo: int, hi: int, left: np.ndarray, seed: int, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The nodes of at most ``most`` shards below (lo, hi), in order, each with its draws of each source."""
+    todo = [(lo, hi, np.asarray(left, dtype=np.int64))]
+    while todo:
+        lo, hi, left = todo.pop()
+        if hi - lo <= most:
+            yield lo, hi, left
+            continue
         mid, rng = (lo + hi) // 2, np.random.default_rng([seed, lo, hi])
         rest, need = int(left.sum()), int(left.sum()) * (mid - lo) // (hi - lo)
         part = np.zeros_like(left)
@@ -69,15 +70,28 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             rest -= have
             part[k] = have if need >= rest + have else (rng.hypergeometric(have, rest, need) if have and need else 0)
             need -= int(part[k])
-        node(lo, mid, part)
-        node(mid, hi, left - part)
+        todo += [(mid, hi, left - part), (lo, mid, part)]
 
-    node(0, shards, np.asarray(quotas, dtype=np.int64))
-    return out
+
+def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Draws of each source for each shard (shards x sources); columns sum to the quotas exactly."""
+    return np.stack([left for _, _, left in subtrees(0, shards, np.asarray(quotas), seed, 1)])
+
+
+def shard_ranges(rows: Iterable[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """Each shard's range of draw numbers of every source it draws from, below the given nodes."""
+    for pdf in rows:
+        for lo, hi, left, first in pdf.itertuples(index=False):
+            at, out = np.array(first, dtype=np.int64), []
+            for shard, _, draws in subtrees(int(lo), int(hi), np.array(left), seed, 1):
+                some = np.flatnonzero(draws)
+                out.append(pd.DataFrame({"_sid": some, "shard": shard, "lo": at[some], "hi": (at + draws)[some]}))
+                at = at + draws
+            yield pd.concat(out)
 
 
 def _fill_last_block(sizes: list[int], room: int) -> list[bool]:
-    """Whole documents, largest first, that fit into what is left of a quota inside its last block."""
+    """Whole documents, largest first, that fit into what is left of a quota at its end."""
     taken = [False] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         if 0 < sizes[i] <= room:
@@ -104,7 +118,7 @@ def mix_sources(
         .withColumn("_words", F.col("_one") * F.col("_copies")),
         "mix-units",
     )
-    totals = units.groupBy("source").agg(F.sum("_words").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
+    totals = units.groupBy("source").agg(F.sum("_words").alias("words"), F.count(F.lit(1)).alias("rows"), F.max("_words").alias("longest")).collect()
     found = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = {r["source"]: int(r["words"]) for r in found}
     weights = weights or {s: 1 + k % 3 for k, s in enumerate(sizes)}
@@ -118,8 +132,10 @@ def mix_sources(
         rest = int(round(goal - passes * words)) if words else 0
         if words and rest >= words:
             passes, rest = passes + 1, 0
-        n_blocks, last = max(1, -(-words // block_words)), rest // block_words  # blocks before `last` are whole in the part pass
-        facts.append((k, r["source"], words, float(goal), passes, rest, last, max(1, int(r["rows"]) // 20_000)))
+        n_blocks = max(1, -(-words // block_words))
+        # The part pass ends in block rest // block_words; what it lacks there may come from as far as the longest document reaches.
+        last = min(n_blocks - 1, rest // block_words + 1 + int(r["longest"] or 0) // block_words)
+        facts.append((k, r["source"], words, float(goal), passes, rest, last, max(1, int(r["rows"]) // 2_000)))
         quotas.append(passes * n_blocks + (last + 1 if rest else 0))
         for p in range(passes + bool(rest)):
             n = n_blocks if p < passes else last + 1
@@ -131,12 +147,14 @@ def mix_sources(
         facts, "_sid int, _src string, source_size long, target double, _passes int, _rest long, _last long, _buckets int"
     )
     shards = max(1, round(sum(sizes.values()) / shard_words))
-    leaves = split_quotas(np.array(quotas, dtype=np.int64), shards, seed)
-    upto = leaves.cumsum(axis=0)
-    ranges = [(k, j, int(upto[j, k] - leaves[j, k]), int(upto[j, k])) for j, k in zip(*map(np.ndarray.tolist, np.nonzero(leaves)), strict=True)]
-
-    # One row a source: the number of sources bounds this broadcast.
-    keyed = units.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn(
+    # The top of the tree is dealt here, at most 512 nodes of it; the shards below them where those nodes lie.
+    tops, at = [], np.zeros(len(quotas), dtype=np.int64)
+    for lo, hi, left in subtrees(0, shards, np.array(quotas, dtype=np.int64), seed, -(-shards // 256)):
+        tops.append((lo, hi, left.tolist(), at.tolist()))
+        at = at + left
+    # One row a source: broadcast only where they are few.
+    small = F.broadcast if len(found) <= 100_000 else (lambda rows: rows)
+    keyed = units.join(small(sources), F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn(
         "_bucket", F.floor((F.shiftright("_h", 32) + 2.0**31) / 2.0**32 * F.col("_buckets")).cast("int")
     )
     # Where each bucket begins in its source: a prefix sum over bucket totals, then a window inside the bucket alone.
@@ -149,7 +167,7 @@ def mix_sources(
         keyed.join(begin, ["_sid", "_bucket"])
         .withColumn("_at", F.col("_begin") + F.sum("_words").over(inside) - F.col("_words"))
         .withColumn("_block", F.expr(f"_at div {block_words}"))
-        .withColumn("_part", F.expr("_rest > 0 and _block < _last and _words > 0"))
+        .withColumn("_part", F.expr("_rest > 0 and _at + _words <= _rest and _words > 0"))
         .drop("_bucket", "_buckets", "_begin"),
         "mix-placed",
     )
@@ -159,18 +177,20 @@ def mix_sources(
         return pdf.assign(_fits=_fill_last_block(pdf["_words"].tolist(), int(pdf["_room"].iloc[0])))[["_sid", "_at", "_fits"]]
 
     whole = placed.where("_part").groupBy("_sid").agg(F.sum("_words").alias("_got"))
-    edge = placed.where("_rest > 0 and _block = _last and _words > 0").join(F.broadcast(whole), "_sid", "left")
-    # Each of these documents has a word or more, so a source has at most block_words of them here.
+    edge = placed.where("_rest > 0 and not _part and _block <= _last and _words > 0").join(small(whole), "_sid", "left")
+    # Each of these documents has a word or more: two blocks and the longest document bound their number.
     fits = (
         edge.select("_sid", "_at", "_words", (F.col("_rest") - F.coalesce("_got", F.lit(0))).alias("_room"))
         .groupBy("_sid").applyInPandas(fill, "_sid int, _at long, _fits boolean").where("_fits")
     )
-    draw = spark.createDataFrame(ranges, "_sid int, shard int, lo long, hi long").select(
+    nodes = spark.createDataFrame(tops, "lo int, hi int, draws array<long>, first array<long>").repartition(max(1, len(tops) // 16))
+    ranges = nodes.mapInPandas(lambda rows: shard_ranges(rows, seed), "_sid int, shard int, lo long, hi long")
+    draw = ranges.select(
         "_sid", "shard", F.explode(F.expr("sequence(lo, hi - 1)")).alias("draw")
     )
     turn = spark.createDataFrame(turns, "_sid int, pass int, n long, a long, b long, first long")
     blocks = (
-        draw.join(F.broadcast(turn), "_sid")
+        draw.join(small(turn), "_sid")
         .where("draw >= first and draw < first + n")
         .withColumn("_block", F.expr("cast((cast(draw - first as decimal(18,0)) * cast(a as decimal(18,0)) + b) % n as long)"))
         .groupBy("_sid", "_block")
@@ -192,13 +212,15 @@ def mix_sources(
     if set(keep) <= {"doc_id", "source"}:
         return drawn.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*keep, *made)
     plan = drawn.select(F.col("_h").alias("_mark"), F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in made])
-    rows = docs.select(*keep, "doc_id" if "doc_id" not in keep else F.lit(0).alias("_none"), mark.alias("_key"))
-    joined = rows.join(plan, (F.col("_key") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*[rows[c] for c in keep if c not in made], *[F.col(f"_{c}").alias(c) for c in made])
+    # The row as one column: whatever its columns are called, they clash with none of these.
+    whole = F.struct(*[F.col(c) for c in keep if c not in made])
+    rows = docs.select(whole.alias("_row"), F.col("doc_id").alias("_doc"), mark.alias("_key"))
+    joined = rows.join(plan, (F.col("_key") == F.col("_mark")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    return joined.select(F.struct("_row.*", *[F.col(f"_{c}").alias(c) for c in made]).alias("_out")).select("_out.*")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each draw, with pass, shard and place beside the columns of ``docs``."""
     own = [c for c in docs.columns if c not in ("pass", "shard", "place")]
     drawn = mix_sources(docs, **options)
-    return drawn.select(*own, F.explode("draws").alias("_d")).select(*own, "_d.pass", "_d.shard", "_d.place")
+    return drawn.select(F.struct(*own).alias("_row"), F.explode("draws").alias("_draw")).select(F.struct("_row.*", "_draw.pass", "_draw.shard", "_draw.place").alias("_out")).select("_out.*")
