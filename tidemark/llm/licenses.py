@@ -233,11 +233,12 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     table = _rule_table(rules or build_rules())
     hits = F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keys"], lambda key: F.contains(F.col("_text"), key))), lambda r: _hits(F.col("_text"), r)))
     return (
-        docs.select(*[c for c in docs.columns if c not in made], lower.alias("_lower"))
+        # The row as one column: whatever its columns are called, they clash with none of these.
+        docs.select(F.struct(*[c for c in docs.columns if c not in made]).alias("_row"), lower.alias("_lower"))
         .withColumn("_words", F.regexp_extract_all("_lower", F.lit(WORD), F.lit(0)))
         .withColumn("_text", F.when(gate, words))
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("detections", F.when(F.col("_text").isNotNull(), hits).otherwise(empty))
         .withColumn("kept", F.when(F.size("detections") > 0, _resolve(F.col("detections"))).otherwise(empty))
-        .drop("_lower", "_words", "_text")
+        .select("_row.*", *made)
     )
