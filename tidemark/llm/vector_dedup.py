@@ -45,15 +45,38 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def audited_links(index: Hnsw, queries: np.ndarray, threshold: float, ef: int, audits: int, target: float, slack: float = 1e-4) -> list[np.ndarray]:
-    """Candidates of each query over ``threshold``, with beams widened until an even sample of queries reaches ``target``."""
-    picked = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
-    truth = queries[picked] @ index.vectors.T >= threshold + slack
-    while ef < len(index.vectors):
-        found = index.within(queries[picked], threshold - slack, ef)
-        hits = sum(int(truth[k, f].sum()) for k, f in enumerate(found))
-        if hits >= target * truth.sum():
-            break
+    """Candidates of each query over ``threshold``, with beams widened until every audited query reaches ``target``.
+
+    The audited are those of an even sample that have a neighbour besides themselves, each for itself, so that a dense
+    group can't speak for a sparse one, and as many made from the shard's own vectors, turned away from them to the
+    threshold, so that there is something to find in every shard. A shard whose audit fails with all of it in the beam
+    is searched by brute force.
+    """
+    n, rng = len(index.vectors), np.random.default_rng(11)
+    own = index.vectors[np.unique(np.linspace(0, n - 1, min(audits, n)).astype(int))]
+    aside = rng.standard_normal(own.shape).astype(np.float32)
+    aside -= own * np.einsum("ij,ij->i", aside, own)[:, None]
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-30)
+    near = min(1.0, threshold + 1e-3)
+    turned = near * own + np.float32(np.sqrt(1 - near * near)) * aside
+    picked = queries[np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))]
+    like = picked @ index.vectors.T
+    some = (like >= threshold - slack).sum(axis=1) > (like >= 1 - 1e-6).sum(axis=1)
+    asked = np.concatenate([picked[some], turned])
+    truth = np.concatenate([like[some], turned @ index.vectors.T]) >= threshold - slack
+
+    def enough() -> bool:
+        """All audited of the sample find what they should, and so do ``target`` of the made ones."""
+        good = [truth[k, f].sum() >= target * truth[k].sum() for k, f in enumerate(index.within(asked, threshold - slack, ef))]
+        return all(good[: some.sum()]) and np.mean(good[some.sum() :]) >= target
+
+    while not enough():
         ef *= 2
+        if ef >= 2 * len(index.vectors):
+            out = []
+            for lo in range(0, len(queries), 256):
+                out += [np.flatnonzero(row >= threshold - slack) for row in queries[lo : lo + 256] @ index.vectors.T]
+            return out
     return index.within(queries, threshold - slack, ef)
 
 
