@@ -93,13 +93,15 @@ def edit_distance(a, b):
 def test_op2_against_brute_force(spark, texts, empty):
     from tidemark.llm.line_dedup import dedup_lines
 
+    texts = [*texts, "menu about us\nshort x1", "menu about uz\nshort x2", "contact and imprint!!\nmenu about", "contact und imprint!"]
     df = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_near int")
     places = [(k, p, x.strip(" ")) for k, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if x.strip(" ")]
     first = {}
     for k, p, x in places:
         first.setdefault(x, (k, p))
-    long = [x for x in first if len(x) >= 32]
-    near = {a for a in long for b in long if a != b and first[b] < first[a] and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2}
+    allow = lambda a, b: min(2, int(max(len(a), len(b)) * 0.1 + 1e-9))
+    near = {a for a in first for b in first if a != b and first[b] < first[a] and abs(len(a) - len(b)) <= allow(a, b) and edit_distance(a, b) <= allow(a, b)}
+    assert any(len(x) < 20 for x in near) and "menu about" not in near and "short x1" not in near
     gone = {(k, p) for k, p, x in places if x in near or first[x] != (k, p)}
     assert near
     for r in dedup_lines(df, bucket=2).collect():
@@ -160,7 +162,7 @@ def test_op4_recall(spark, vectors):
 
     df, x = vectors
     got = {}
-    for r in nearest(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=120).collect():
+    for r in nearest(df, F.col("vec_id") % 20 == 0, k=5, ef=24, expand=8).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == set(range(0, 300, 20))
     hits = 0
@@ -295,7 +297,7 @@ def test_op8_paths_agree_and_learn(spark):
     held = [k for k in range(400) if k >= 300 or k % 5 == 2]
     assert np.mean([(got[k].score >= 0.3) == (k % 4 == 0) for k in held]) > 0.97
     assert 0 <= got[900].score <= 1 and got[900].score == got[901].score and len(got) == len(rows)
-    joined = {r.doc_id: r for r in score_toxicity(docs, known, learn, broadcast_rows=0, label_broadcast_rows=0).collect()}
+    joined = {r.doc_id: r for r in score_toxicity(docs, known, learn, table_rows=0, label_broadcast_rows=0).collect()}
     assert all(abs(got[k].score - joined[k].score) < 1e-9 and got[k].n == joined[k].n for k in got)
     assert all(0 <= r.score <= 1 for r in score_toxicity(docs, known.where("false"), learn).collect())
 
@@ -342,7 +344,7 @@ def test_op8_rare_expressions_against_brute_force(spark):
     for k, text in rows:
         w = ["<s>", *text.split()]
         ratio = sum(math.log(chance(1, h, v) / chance(0, h, v)) for h, v in zip(w, w[1:]))
-        assert abs(got[k].llr - ratio) < 1e-6 * max(1, abs(ratio))
+        assert abs(got[k].llr - ratio) < 1e-5 * max(1, abs(ratio))
     held = [(got[k].score, labels[k][1]) for k in range(400, 600)]
     marked, clean = [s for s, t in held if t], [s for s, t in held if not t]
     assert np.mean([a > b for a in marked for b in clean]) > 0.9
@@ -381,8 +383,11 @@ def test_op9_pieces(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder = FastBytePairs(path)
     rng = random.Random(1)
-    odd = ["".join(rng.choice(" ab1,.\n\t é2²½ª'x中ʰ̀ \x85\x1c") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["don't  stop\n\n\n x", "<|endoftext|>"]
-    assert [x.tolist() for x in encoder.encode(odd)] == [encoder.slow.encode(t, add_special_tokens=False).ids for t in odd]
+    odd = ["".join(rng.choice(" ab1,.\n\t é2²½ª'x中ʰ̀ \x85\x1c") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["don't  stop\n\n\n x", "<|endoftext|>", "a <|endoftext|> b"]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)  # as the library has it, nothing set
+    assert [x.tolist() for x in encoder.encode(odd)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
     rows = best_fit_pack(docs, path, capacity=256).collect()
     by = {}
     for r in rows:
@@ -450,3 +455,76 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert all(any(c.isalpha() for c in r.text) for r in now.collect())
     last = corpus_pipeline.STAGES[-1][1](spark, now, "")
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_columns_may_have_any_name(spark):
+    """Every operator carries columns along whose names its own working columns might have."""
+    from tidemark.llm.langid import fit, identify
+    from tidemark.llm.licenses import scan_licenses
+    from tidemark.llm.line_dedup import dedup_lines
+    from tidemark.llm.mixing import mix_sources, mixed
+    from tidemark.llm.ngram_join import deduplicate
+    from tidemark.llm.toxicity import score_toxicity
+
+    odd = ["exact", "near", "_id", "_mark", "_m", "_n", "_l", "_d", "_key", "_size", "_sid", "_h", "_block", "_lower", "_text", "_words", "_row", "_doc", "_draw", "a", "b",
+           "mark", "lid", "words", "base", "n", "strong", "key", "label", "cell", "_own", "_mine", "_all"]
+    rows = [(k, f"some words of text number {k} under the mit license\nand a line", "en", "s", *[f"{c}{k}" for c in odd]) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in odd))
+    known = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    for got in (
+        deduplicate(docs), dedup_lines(docs), mix_sources(docs), mixed(docs), scan_licenses(docs), identify(docs, fit(docs)),
+        score_toxicity(docs, known, F.lit(True), keep=[c for c in docs.columns if c not in ("n", "strong")]),
+        score_toxicity(docs, known, F.lit(True), keep=[c for c in docs.columns if c not in ("n", "strong")], table_rows=0),
+    ):
+        for r in got.collect():
+            for c in odd:
+                if c not in ("n", "strong"):
+                    assert r[c] == f"{c}{r.doc_id}"
+
+
+def test_vector_and_score_operators_on_empty_tables_ties_and_repeats(spark):
+    from tidemark.llm.ann import nearest
+    from tidemark.llm.langid import fit, identify
+    from tidemark.llm.toxicity import score_toxicity
+
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert nearest(none, F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(k, [1.0, 0.0]) for k in range(5)] + [(5, [0.5, 0.5]), (5, [0.5, 0.5]), (None, [1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+    docs = spark.createDataFrame([(1, "one two", "en")] * 3 + [(2, "uno dos", "es"), (None, "one two", None)], "doc_id long, text string, lang string")
+    said = identify(docs, fit(docs)).where("text = 'one two'").select("lang_pred", "score").distinct().collect()
+    assert len(said) == 1 and said[0].lang_pred == "en"
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert len(score_toxicity(docs, known, F.lit(True)).where("text = 'one two'").select("score").distinct().collect()) == 1
+
+
+def test_op10_tells_very_long_texts_apart(spark):
+    from tidemark.llm.langid import fit, identify
+
+    rng = random.Random(8)
+    stocks = {c: [words(rng, 1) + c for _ in range(40)] for c in "xy"}
+    rows = [(k, " ".join(rng.choices(stocks["xy"[k % 2]], k=40)), "xy"[k % 2]) for k in range(60)]
+    noise = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(9)) for _ in range(60_000)]
+    long = [(100 + k, " ".join(w for x in noise for w in (x, rng.choice(stocks[c]))), c) for k, c in enumerate("xy")]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = identify(spark.createDataFrame(long, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_op3_deal_against_a_plain_one(spark):
+    """The tree's leaves, dealt by the executors, are the tree's leaves; and each shard's draws are whole blocks once a pass."""
+    from tidemark.llm.mixing import shard_ranges, split_quotas, subtrees
+
+    quotas = np.array([500, 0, 37, 1200])
+    whole = split_quotas(quotas, 41, 3)
+    assert (whole.sum(axis=0) == quotas).all() and (whole >= 0).all()
+    at, dealt = np.zeros(4, int), np.zeros_like(whole)
+    for lo, hi, left in subtrees(0, 41, quotas, 3, 7):
+        import pandas as pd
+
+        for pdf in shard_ranges([pd.DataFrame([(lo, hi, left.tolist(), at.tolist())])], 3):
+            for sid, shard, a, b in pdf.itertuples(index=False):
+                dealt[shard, sid] += b - a
+        at = at + left
+    assert (dealt == whole).all()
