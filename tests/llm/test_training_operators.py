@@ -297,7 +297,7 @@ def test_op8_paths_agree_and_learn(spark):
     held = [k for k in range(400) if k >= 300 or k % 5 == 2]
     assert np.mean([(got[k].score >= 0.3) == (k % 4 == 0) for k in held]) > 0.97
     assert 0 <= got[900].score <= 1 and got[900].score == got[901].score and len(got) == len(rows)
-    joined = {r.doc_id: r for r in score_toxicity(docs, known, learn, table_rows=0, label_broadcast_rows=0).collect()}
+    joined = {r.doc_id: r for r in score_toxicity(docs, known, learn, table_rows=0, vocabulary_rows=0, label_broadcast_rows=0).collect()}
     assert all(abs(got[k].score - joined[k].score) < 1e-9 and got[k].n == joined[k].n for k in got)
     assert all(0 <= r.score <= 1 for r in score_toxicity(docs, known.where("false"), learn).collect())
 

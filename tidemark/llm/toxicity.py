@@ -11,8 +11,9 @@ likelihood-ratio statistic G2 of the count split passes ``evidence``, and the pa
 logistic function of both, each by word (length-normalised) and in total. It is fitted on training documents by
 expressions counted without them, since a document's own counts would speak for its label.
 
-The expressions are broadcast only if they are at most ``broadcast_rows``; beyond that a text's expressions are
-joined with them in a shuffle and summed, with the same result. Counting and scoring read whole texts.
+Workers read the expressions' table from the shared folder if it has at most ``table_rows`` rows (13 bytes each in memory);
+beyond that a text's expressions are joined with them in a shuffle and summed, with the same result. Counting and
+scoring read whole texts.
 
 Defined cases: null and empty texts have no words and get the prior's score; labels that are null are no labels; of
 several labels of a doc_id the largest counts; a null doc_id has no label and is not held out; with one class only,
@@ -25,15 +26,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import bounded_batches, materialize, private
 from tidemark.llm.textcore import slices, word_hashes
 
 START = np.uint64(0x51ED270B7A1C4E95)
-#: A bigram is one number: 40 bits of the hash of its second word, then 24 bits of that of its first.
-HEAD_BITS = 24
+#: A bigram is one number: half of the hash of its second word, then half of that of its first.
+HEAD_BITS = 32
 
 
 def tails(words: np.ndarray) -> np.ndarray:
@@ -87,7 +90,7 @@ def _g2(t: Column, o: Column, share: Column) -> Column:
     return 2 * (part(t, n * share) + part(o, n * (1 - share)))
 
 
-def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float = 15.0) -> DataFrame:
+def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float = 15.0, vocabulary_rows: int = 6_000_000) -> DataFrame:
     """kind, key and llr of every expression of ``pairs``, and whether it is ``strong`` (well attested).
 
     All pairs are counted; bigrams are given only where ``used``, that is where a text to be scored can have them.
@@ -116,37 +119,85 @@ def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float =
     heads = materialize(heads, "tox-heads")
     threes = heads.select(F.lit(3).alias("kind"), F.col("h").alias("key"), F.log(F.col("lt") / F.col("lo")).alias("llr"), F.lit(False).alias("strong"))
     # A bigram's evidence is held against what its second word alone says.
-    tail = scored.select("w", "pt", "po", ((F.col("t") + share) / (F.col("t") + F.col("o") + 1)).alias("ws"))
-    joined = pairs.where("used").join(tail, "w").join(heads, "h")
+    tail = materialize(scored.select("w", "pt", "po", ((F.col("t") + share) / (F.col("t") + F.col("o") + 1)).alias("ws")), "tox-tails")
+    vocabulary = (tail, "w", ["pt", "po", "ws"]), (heads, "h", ["ht", "ho", "lt", "lo", "hn", "lam"])
+    if words.count() + heads.count() <= vocabulary_rows:
+        joined = looked_up(pairs.where("used").select("pair", "t", "o", "w", "h"), *vocabulary)
+    else:
+        joined = pairs.where("used").join(tail, "w").join(heads, "h")
     sure = (F.col("t") + F.col("o") >= 3) & (_g2(F.col("t"), F.col("o"), F.col("ws")) >= evidence)
     pooled = left(F.col("t") + F.col("o")) / F.col("hn")
     prob = {c: left(F.col(c)) / F.greatest(F.col(f"h{c}"), F.lit(1)) + F.col(f"l{c}") * (pooled + F.col("lam") * F.col(f"p{c}")) for c in "to"}
     twos = joined.select(F.lit(2).alias("kind"), F.col("pair").alias("key"), F.log(prob["t"] / prob["o"]).alias("llr"), sure.alias("strong"))
     none = pairs.sparkSession.range(1).select(F.lit(0).alias("kind"), F.col("id").alias("key"), F.lit(float(np.log(back["t"] / back["o"]))).alias("llr"), F.lit(False).alias("strong"))
-    return materialize(ones.unionByName(twos).unionByName(threes).unionByName(none), "tox-expressions")
+    every = ones.unionByName(twos).unionByName(threes).unionByName(none)
+    # In order, file by file: a worker that reads the table needs no more room than the table takes.
+    ordered = every.withColumn("llr", F.col("llr").cast("float")).repartitionByRange("kind", "key").sortWithinPartitions("kind", "key")
+    return materialize(ordered, "tox-expressions")
+
+
+def read_columns(files: list[str], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of a written table's files, some rows at a time, read where the caller runs."""
+    for file in files:
+        system, path = fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(500_000, columns=names):
+                yield tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+
+
+def row_count(file: str) -> int:
+    system, path = fs.FileSystem.from_uri(file)
+    with system.open_input_file(path) as f:
+        return pq.ParquetFile(f).metadata.num_rows
+
+
+def looked_up(pairs: DataFrame, *tables: tuple[DataFrame, str, list[str]]) -> DataFrame:
+    """``pairs`` with the columns of written tables (table, key, columns), every key of which is there: no shuffle."""
+    sources = [(sorted(table.inputFiles()), key, names) for table, key, names in tables]
+    added = [c for _, _, names in sources for c in names]
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for files, key, names in sources:
+            columns = [np.concatenate(c) for c in zip(*read_columns(files, [key, *names]), strict=True)]
+            order = np.argsort(columns[0])
+            held.append((key, [c[order] for c in columns]))
+        for batch in batches:
+            values = []
+            for key, (known, *columns) in held:
+                at = np.searchsorted(known, batch.column(key).to_numpy())
+                values += [pa.array(c[at], pa.float64()) for c in columns]
+            yield pa.record_batch([*batch.columns, *values], names=[*batch.schema.names, *added])
+
+    return pairs.mapInArrow(look, ", ".join([*(f"{c} long" for c in pairs.columns), *(f"{c} double" for c in added)]))
 
 
 class Table:
-    """Sorted keys of each kind with their log-likelihood ratios."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        kind, keys = rows["kind"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
-        llr, strong = rows["llr"].to_numpy(), rows["strong"].to_numpy()
-        self.unseen = float(llr[kind == 0].sum())
-        self.parts = {}
-        for k in (1, 2, 3):
-            own = np.flatnonzero(kind == k)
-            own = own[np.argsort(keys[own])]
-            self.parts[k] = (keys[own], llr[own], strong[own])
+    """Sorted keys of each kind with their log-likelihood ratios, read from the files of an expressions' table."""
+
+    def __init__(self, files: list[str]) -> None:
+        n = sum(row_count(f) for f in files)
+        kinds, keys, llr, strong = np.empty(n, np.int8), np.empty(n, np.int64), np.empty(n, np.float32), np.empty(n, bool)
+        at = 0
+        for columns in read_columns(files, ["kind", "key", "llr", "strong"]):
+            for whole, part in zip((kinds, keys, llr, strong), columns, strict=True):
+                whole[at : at + len(part)] = part
+            at += len(columns[0])
+        edges = np.searchsorted(kinds, np.arange(5))
+        self.unseen = float(llr[edges[0] : edges[1]].sum())
+        self.parts = {k: tuple(x[edges[k] : edges[k + 1]] for x in (keys, llr, strong)) for k in (1, 2, 3)}
+        if any((known[1:] < known[:-1]).any() for known, _, _ in self.parts.values()):
+            raise ValueError("the expressions' files are not in order")
 
     def look(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which keys are known, their ratios, and which are strong."""
         known, value, strong = self.parts[part]
         if not len(known):
             return np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), bool)
+        keys = keys.view(np.int64)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         hit = known[at] == keys
-        return hit, np.where(hit, value[at], 0.0), hit & strong[at]
+        return hit, np.where(hit, value[at], np.float32(0.0)).astype(np.float64), hit & strong[at]
 
     def sums(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log-likelihood ratio of each text, and the strong expressions' part of it."""
@@ -162,33 +213,43 @@ class Table:
         return tuple(x[bounds[1:]] - x[bounds[:-1]] for x in upto)
 
 
-def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], broadcast_rows: int = 4_000_000) -> DataFrame:
+#: The table that this worker has read.
+_tables: dict[str, Table] = {}
+
+
+def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], table_rows: int = 24_000_000) -> DataFrame:
     """``keep`` of every row of ``docs`` with ``llr`` (summed over its words), ``strong`` (part of it) and ``n`` (its words)."""
     spark = docs.sparkSession
     schema = docs.select(*keep).withColumns({"llr": F.lit(0.0), "strong": F.lit(0.0), "n": F.lit(0).cast("long")}).schema
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    if expressions.count() <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(Table(expressions.toArrow()))
+    text, row = private(keep, "_text"), private(keep, "_row")
+    source = docs.select(*keep, F.col("text").alias(text))
+    bounded_batches(spark)
+    if expressions.count() <= table_rows:
+        files = sorted(expressions.inputFiles())
 
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts_of(batches, "_text"):
-                words, bounds = word_hashes(batch.column("_text"))
-                values = [*map(pa.array, shared.value.sums(words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
+            if files and files[0] not in _tables:
+                _tables.clear()
+                _tables[files[0]] = Table(files)
+            table = _tables[files[0]] if files else Table([])
+            for batch in parts_of(batches, text):
+                words, bounds = word_hashes(batch.column(text))
+                values = [*map(pa.array, table.sums(words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
                 yield pa.record_batch([*(batch.column(c) for c in keep), *values], names=[*keep, "llr", "strong", "n"])
 
         return source.mapInArrow(score, schema)
-    rows = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "tox-rows")
+    rows = materialize(source.withColumn(row, F.monotonically_increasing_id()), "tox-rows")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts_of(batches, "_text"):
-            words, bounds = word_hashes(batch.column("_text"))
-            row = np.repeat(batch.column("_row").to_numpy(zero_copy_only=False), np.diff(bounds))
+        for batch in parts_of(batches, text):
+            words, bounds = word_hashes(batch.column(text))
+            which = np.repeat(batch.column(row).to_numpy(zero_copy_only=False), np.diff(bounds))
             pair = pair_keys(contexts(words, bounds), words) if len(words) else words
-            yield pa.record_batch([pa.array(row), pa.array(pair.view(np.int64))], names=["_row", "pair"])
+            yield pa.record_batch([pa.array(which), pa.array(pair.view(np.int64))], names=["_row", "pair"])
 
-    said = rows.select("_row", "_text").mapInArrow(spread, "_row long, pair long").groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("k"))
+    said = rows.select(row, text).mapInArrow(spread, "_row long, pair long").groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("k"))
     table = lambda kind, key, name: expressions.where(F.col("kind") == kind).select(
-        F.col("key").alias(key), F.col("llr").alias(name), F.col("strong").alias(name + "_strong")
+        F.col("key").alias(key), F.col("llr").cast("double").alias(name), F.col("strong").alias(name + "_strong")
     )
     none = expressions.where("kind = 0").first()
     apart = F.coalesce("_one", F.lit(none["llr"] if none else 0.0)) + F.coalesce("_head", F.lit(0.0))
@@ -198,8 +259,10 @@ def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], broadcast_r
         said.join(table(1, "w", "_one"), "w", "left").join(table(3, "h", "_head"), "h", "left").join(table(2, "pair", "_two"), "pair", "left").groupBy("_row")
         .agg(F.sum(F.coalesce(F.col("_two"), apart) * F.col("k")).alias("llr"), F.sum(strong * F.col("k")).alias("strong"), F.sum("k").alias("n"))
     )
-    ratios = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("llr", "strong")]
-    return rows.drop("_text").join(summed, "_row", "left").select(*keep, *ratios, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    ratios = [F.coalesce(f"_sum_{c}", F.lit(0.0)).alias(c) for c in ("llr", "strong")]
+    summed = summed.select(F.col("_row").alias("_own"), *[F.col(c).alias(f"_sum_{c}") for c in ("llr", "strong", "n")])
+    joined = rows.select(F.struct(*keep).alias("_all"), F.col(row).alias("_mine")).join(summed, F.col("_mine") == F.col("_own"), "left")
+    return joined.select(F.struct("_all.*", *ratios, F.coalesce("_sum_n", F.lit(0)).cast("long").alias("n")).alias("_out")).select("_out.*")
 
 
 def features(llr, strong, n):
@@ -220,7 +283,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep: list[str] | None = None, fit_rows: int = 20_000,
-                   label_broadcast_rows: int = 1_000_000, broadcast_rows: int = 4_000_000) -> DataFrame:
+                   label_broadcast_rows: int = 1_000_000, table_rows: int = 24_000_000, vocabulary_rows: int = 6_000_000) -> DataFrame:
     """``docs`` (its columns in ``keep``, by default all) with llr, n and score; learns where ``learn_from`` holds.
 
     ``learn_from`` is a condition on doc_id. The logistic function is fitted on about ``fit_rows`` labelled documents.
@@ -234,11 +297,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
     # The rows of the logistic step are at most about a fifth, so that the others' counts can stand for them.
     near = (F.xxhash64(F.lit("fit"), F.col("doc_id")) / F.lit(2.0**64)) + 0.5 < min(0.2, fit_rows / max(1, size))
     pairs = materialize(bigram_counts(labelled.withColumn("fitted", near)), "tox-pairs")
-    expressions = fit_expressions(pairs.select("pair", "t", "o", F.lit(True).alias("used")))
+    expressions = fit_expressions(pairs.select("pair", "t", "o", F.lit(True).alias("used")), vocabulary_rows=vocabulary_rows)
     others = pairs.select("pair", (F.col("t") - F.col("ft")).alias("t"), (F.col("o") - F.col("fo")).alias("o"), (F.col("ft") + F.col("fo") > 0).alias("used")).where("t + o > 0")
-    sample = totals(labelled.where(near), fit_expressions(others), ["doc_id", "toxic"], broadcast_rows).toArrow().to_pandas()
+    sample = totals(labelled.where(near), fit_expressions(others, vocabulary_rows=vocabulary_rows), ["doc_id", "toxic"], table_rows).toArrow().to_pandas()
     if not sample["llr"].any() or len(set(sample["toxic"] > 0)) < 2:  # the others, or too few rows, tell the classes apart nowhere
-        sample = totals(labelled.where(near) if size > fit_rows else labelled, expressions, ["doc_id", "toxic"], broadcast_rows).toArrow().to_pandas()
+        sample = totals(labelled.where(near) if size > fit_rows else labelled, expressions, ["doc_id", "toxic"], table_rows).toArrow().to_pandas()
     y = (sample["toxic"].to_numpy(dtype=float) > 0).astype(float)
     order = np.lexsort((sample["strong"], sample["llr"], sample["n"], sample["doc_id"]))
     if len(y) and 0 < y.mean() < 1:
@@ -249,4 +312,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
     n1, strong = F.greatest(F.col("n"), F.lit(1)), F.col("strong")
     parts = [f for x in (strong, F.col("llr") - strong) for f in (10 * x / n1, x / F.sqrt(n1), F.tanh(x / 8.0))]
     logit = sum((float(b) * f for b, f in zip(beta[1:], parts)), F.lit(float(beta[0])))
-    return totals(docs, expressions, keep, broadcast_rows).withColumn("score", 1 / (1 + F.exp(-logit))).drop("strong")
+    return totals(docs, expressions, keep, table_rows).withColumn("score", 1 / (1 + F.exp(-logit))).drop("strong")
