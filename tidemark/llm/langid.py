@@ -1,13 +1,15 @@
 """Language identification: blended-spectrum string kernels, Nystroem landmarks, one-versus-rest kernel ridge.
 
-A text is the set of its byte n-grams for n = 1..order (hashed into ``buckets``), with letters folded to lower case.
-The kernel of two texts is the number of n-grams in both, over the root of the product of their set sizes. Landmarks
-are labelled texts; the ridge is solved in the Nystroem space they span, and its solution folds back into one weight
-per (n-gram, language). Scoring is then a product of a block's presence matrix with that weight matrix, divided by
-each text's own norm: the same numbers as kernel values against every landmark, at a cost free of their number.
+A piece of text is the set of its byte n-grams for n = 1..order (hashed into ``2**bits`` buckets), with letters folded
+to lower case. The kernel of two pieces is the number of n-grams in both, over the root of the product of their set
+sizes; a text longer than ``piece`` bytes is the mean of its pieces, by their bytes, so that a text of any length stays
+apart from others. Landmarks are pieces of labelled texts; the ridge is solved in the Nystroem space they span, and its
+solution folds back into one weight per (n-gram, language). Scoring is then a product of a block's presence sets with
+that weight matrix, divided by each piece's own norm: the same numbers as kernel values against every landmark.
 
-The classifier is fitted on about ``per_language`` labelled rows of each language (picked by a hash of doc_id and text),
-a documented bound; texts are read whole, in training and in scoring, and scoring needs no shuffle.
+The classifier is fitted on about ``per_language`` labelled rows of each language and about ``landmarks`` pieces (picked
+by a hash of doc_id and text), documented bounds; texts are read whole, in training and in scoring. Kernel values are
+computed where the sample lies; the driver gets a row of ``landmarks`` numbers for each row of it. Scoring needs no shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from every text is
 ``und``; a null doc_id counts as not held out but is scored alike; ties go to the language first in code-point order;
@@ -16,6 +18,7 @@ equal rows get equal results; extra columns are ignored, and the columns made he
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,17 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bounded_batches
-from tidemark.llm.textcore import LOWER, buffer_of
+from tidemark.llm.shared import bounded_batches, materialize, private
+from tidemark.llm.textcore import LOWER, buffer_of, slices
 
 UNKNOWN = "und"
-BLOCK_BYTES, BLOCK_ROWS = 1_000_000, 64
+BLOCK_ROWS = 64
 
 
 @dataclass(frozen=True)
 class Spectrum:
     order: int = 4
-    bits: int = 16
+    bits: int = 18
+    piece: int = 16_384
 
 
 def fold_case(data: np.ndarray) -> np.ndarray:
@@ -48,34 +52,34 @@ def fold_case(data: np.ndarray) -> np.ndarray:
     return data
 
 
-def presence(data: np.ndarray, offsets: np.ndarray, spectrum: Spectrum) -> np.ndarray:
-    """A row for each text: which n-gram buckets it has."""
-    rows, width = len(offsets) - 1, 1 << spectrum.bits
-    seen = np.zeros(rows * width, dtype=np.bool_)
-    data = fold_case(data).astype(np.uint64) + np.uint64(1)
-    row = np.repeat(np.arange(rows, dtype=np.int64) * width, np.diff(offsets))
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    code = np.zeros(len(data), dtype=np.uint64)
-    for n in range(1, spectrum.order + 1):
-        code = code * np.uint64(0x9E3779B97F4A7C15)
-        code[: len(data) - n + 1] += data[n - 1 :]
-        bucket = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n) >> np.uint64(64 - spectrum.bits)).astype(np.int64)
-        whole = room >= n
-        seen[(row + bucket)[whole]] = True
-    return seen.reshape(rows, width)
-
-
-def blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of few enough rows and bytes to stand in memory as a presence matrix."""
-    sizes = pc.binary_length(pc.fill_null(column, "").cast(pa.binary())).to_numpy(zero_copy_only=False)
-    lo = held = 0
-    for k, n in enumerate(sizes.tolist()):
-        if k > lo and (held + n > BLOCK_BYTES or k - lo >= BLOCK_ROWS):
-            yield lo, k
-            lo, held = k, 0
-        held += n
-    if len(sizes) > lo:
-        yield lo, len(sizes)
+def pieces(offsets: np.ndarray, spectrum: Spectrum) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, owner): piece k is the bytes edges[k]..edges[k+1] of text owner[k]; an empty text has none."""
+    counts = -(-np.diff(offsets) // spectrum.piece)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.append(offsets[owner] + nth * spectrum.piece, offsets[-1]), owner
+
+
+def presence(data: np.ndarray, edges: np.ndarray, spectrum: Spectrum) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks (first piece, buckets, bounds): piece first + j has the n-gram buckets of bounds[j]..bounds[j+1]."""
+    width = 1 << spectrum.bits
+    seen = np.zeros(BLOCK_ROWS * width, dtype=np.bool_)
+    data = fold_case(data)
+    for first in range(0, len(edges) - 1, BLOCK_ROWS):
+        cut = edges[first : first + BLOCK_ROWS + 1] - edges[first]
+        part = data[edges[first] : edges[first] + cut[-1]].astype(np.uint64) + np.uint64(1)
+        sizes = np.diff(cut)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int64) * width, sizes)
+        room = np.repeat(cut[1:], sizes) - np.arange(len(part))
+        code = np.zeros(len(part), dtype=np.uint64)
+        for n in range(1, spectrum.order + 1):
+            code = code * np.uint64(0x9E3779B97F4A7C15)
+            code[: max(0, len(part) - n + 1)] += part[n - 1 :]
+            bucket = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n) >> np.uint64(64 - spectrum.bits)).astype(np.int64)
+            seen[(row + bucket)[room >= n]] = True
+        flat = np.flatnonzero(seen[: len(sizes) * width])
+        seen[flat] = False
+        yield first, flat & (width - 1), np.searchsorted(flat, np.arange(len(sizes) + 1) * width)
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -94,65 +98,104 @@ class Model:
     spectrum: Spectrum
     sharpness: float = 8.0
 
-    def score(self, seen: np.ndarray) -> np.ndarray:
-        matrix = seen.astype(np.float32)
-        norm = np.sqrt(np.maximum(matrix.sum(axis=1), 1))
-        return (matrix @ self.weights) / norm[:, None] + self.bias
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """texts x languages: the mean over a text's pieces, by their bytes."""
+        edges, owner = pieces(offsets, self.spectrum)
+        out, share = np.zeros((len(offsets) - 1, len(self.languages))), np.diff(edges) / np.maximum(np.diff(offsets)[owner], 1)
+        for first, grams, bounds in presence(data, edges, self.spectrum):
+            sums = np.add.reduceat(self.weights[grams], bounds[:-1], axis=0)
+            at = slice(first, first + len(sums))
+            np.add.at(out, owner[at], sums / np.sqrt(np.diff(bounds))[:, None] * share[at, None])
+        return out + self.bias
 
 
-def training_sample(docs: DataFrame, learn_from: Column, per_language: int) -> DataFrame:
-    """lang and text of about ``per_language`` rows of each language, by hash."""
+def training_sample(docs: DataFrame, learn_from: Column, per_language: int, per_mark: int) -> DataFrame:
+    """lang and text of about ``per_language`` rows of each language, by hash; ``mark`` is set on about ``per_mark``."""
     known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return known.select("lang", "text").where(F.lit(False))
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
+        return known.select("lang", "text", F.lit(False).alias("mark")).where(F.lit(False))
+    share = lambda most: F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, most / n)))])[F.col("lang")]
     draw = (F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")) / F.lit(2.0**64)) + 0.5
-    return known.where(draw < share[F.col("lang")]).select("lang", "text")
+    return known.where(draw < share(per_language)).select("lang", "text", (draw < share(per_mark)).alias("mark"))
+
+
+class Landmarks:
+    """Sets of n-gram buckets, one after another, and the kernel of other sets with each of them."""
+
+    def __init__(self, sets: list[np.ndarray], width: int) -> None:
+        self.sizes = np.array([len(s) for s in sets], dtype=np.float64)
+        self.flat, self.starts, self.width = np.concatenate(sets), np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64), width
+
+    def kernel(self, grams: np.ndarray) -> np.ndarray:
+        has = np.zeros(self.width, dtype=np.bool_)
+        has[grams] = True
+        return np.add.reduceat(has[self.flat], self.starts, dtype=np.int64) / np.sqrt(self.sizes * max(len(grams), 1))
 
 
 def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 400, landmarks: int = 320,
         ridge: float = 1e-2, spectrum: Spectrum | None = None) -> Model:
     """Learn from the text and lang of the rows of ``docs`` where ``learn_from`` holds."""
     spectrum = spectrum or Spectrum()
-    bounded_batches(docs.sparkSession)
-    sample = training_sample(docs, F.lit(True) if learn_from is None else learn_from, per_language)
+    width = 1 << spectrum.bits
+    # About 80 landmarks a language, as of four languages; more languages have more, a bound by their number.
+    sample = materialize(training_sample(docs, F.lit(True) if learn_from is None else learn_from, per_language, max(1, landmarks // 4)), "lang-sample")
 
-    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = batch.column("text"), batch.column("lang")
-            for lo, hi in blocks(texts):
-                seen = presence(*buffer_of(texts[lo:hi]), spectrum)
-                sets = [np.flatnonzero(r).astype(np.int32) for r in seen]
-                yield pa.record_batch([langs[lo:hi], pa.array(sets, pa.list_(pa.int32()))], names=["lang", "grams"])
-
-    rows = sample.mapInArrow(extract, "lang string, grams array<int>").toArrow().to_pandas()  # a bounded sample
-    languages = tuple(sorted(set(rows["lang"])))
-    width = 1 << spectrum.bits
-    if not len(rows) or not languages:
-        return Model((), np.zeros((width, 0), np.float32), np.zeros(0, np.float32), spectrum)
-    order = sorted(range(len(rows)), key=lambda k: (rows["lang"][k], len(rows["grams"][k]), rows["grams"][k].tobytes()))
-    rows = rows.iloc[order].reset_index(drop=True)  # the same order on every run
-    sizes = np.maximum(np.array([len(g) for g in rows["grams"]], dtype=np.float64), 1)
-    # Landmarks: evenly over the languages' rows.
-    pick = np.unique(np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int))
-    marks = np.zeros((len(pick), width), dtype=np.float32)
-    for j, k in enumerate(pick):
-        marks[j, rows["grams"][k]] = 1 / np.sqrt(sizes[k])
-    kernel = np.empty((len(rows), len(pick)))
-    for k, grams in enumerate(rows["grams"]):
-        kernel[k] = marks[:, grams].sum(axis=1) / np.sqrt(sizes[k])
-    values, vectors = np.linalg.eigh(kernel[pick])
+            data, offsets = buffer_of(batch.column("text"))
+            edges, owner = pieces(offsets, spectrum)
+            middle = np.searchsorted(owner, np.arange(len(batch))) + np.bincount(owner, minlength=len(batch)) // 2
+            sets: list = [None] * len(batch)
+            for first, grams, bounds in presence(data, edges, spectrum):
+                for j in range(len(bounds) - 1):
+                    if middle[owner[first + j]] == first + j:
+                        sets[owner[first + j]] = grams[bounds[j] : bounds[j + 1]].astype(np.int32)
+            yield pa.record_batch([batch.column("lang"), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "grams"])
+
+    marks = sample.where("mark").select("lang", "text").mapInArrow(mark, "lang string, grams array<int>").where("grams is not null").toArrow()
+    sets = [g.values.to_numpy() for g in marks["grams"]]
+    names = marks["lang"].to_pylist()
+    order = sorted(range(len(sets)), key=lambda k: (names[k], len(sets[k]), sets[k].tobytes()))  # the same order on every run
+    sets = [sets[k] for k in order]
+    if not sets:
+        return Model((), np.zeros((1, 0), np.float32), np.zeros(0, np.float32), spectrum)
+    space = Landmarks(sets, width)
+    shared = sample.sparkSession.sparkContext.broadcast(space)  # ``landmarks`` sets of at most order x piece numbers
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffer_of(batch.column("text"))
+            edges, owner = pieces(offsets, spectrum)
+            out = np.zeros((len(batch), len(shared.value.sizes)))
+            for first, grams, bounds in presence(data, edges, spectrum):
+                for j in range(len(bounds) - 1):
+                    text = owner[first + j]
+                    out[text] += shared.value.kernel(grams[bounds[j] : bounds[j + 1]]) * (edges[first + j + 1] - edges[first + j]) / (offsets[text + 1] - offsets[text])
+            yield pa.record_batch([batch.column("lang"), pa.array(list(out.astype(np.float32)), pa.list_(pa.float32()))], names=["lang", "kernel"])
+
+    rows = sample.select("lang", "text").mapInArrow(place, "lang string, kernel array<float>").toArrow()  # a bounded sample
+    shared.destroy()
+    langs = np.array(rows["lang"].to_pylist(), dtype=object)
+    kernel = rows["kernel"].combine_chunks().values.to_numpy().reshape(len(rows), -1).astype(np.float64)
+    order = np.lexsort((*kernel.T[:8], langs))
+    langs, kernel = langs[order], kernel[order]
+    languages = tuple(sorted(set(langs)))
+    values, vectors = np.linalg.eigh(np.stack([space.kernel(s) for s in sets]))
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     phi = kernel @ root
-    goal = np.where(rows["lang"].to_numpy()[:, None] == np.array(languages)[None, :], 1.0, -1.0)
+    goal = np.where(langs[:, None] == np.array(languages, dtype=object)[None, :], 1.0, -1.0)
     # Each language weighs alike whatever its number of rows.
-    weight = (1.0 / rows.groupby("lang")["lang"].transform("size").to_numpy())[:, None]
+    many = Counter(langs)
+    weight = np.array([1.0 / many[x] for x in langs])[:, None]
     centre, level = (phi * weight).sum(0) / weight.sum(), (goal * weight).sum(0) / weight.sum()
     a, b = phi - centre, goal - level
     alpha = np.linalg.solve(a.T @ (a * weight) + ridge * np.eye(a.shape[1]) / len(languages), a.T @ (b * weight))
-    return Model(languages, (marks.T @ (root @ alpha)).astype(np.float32), (level - centre @ alpha).astype(np.float32), spectrum)
+    each, weights = root @ alpha, np.zeros((width, len(languages)), dtype=np.float32)
+    for grams, own in zip(sets, each, strict=True):
+        weights[grams] += (own / np.sqrt(len(grams))).astype(np.float32)
+    return Model(languages, weights, (level - centre @ alpha).astype(np.float32), spectrum)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -161,24 +204,23 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the corpus
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    own = "text" in keep
+    held = "text" if "text" in keep else private(keep, "text")
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = batch.column("text" if own else "_text")
-            best, sure = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+            best, sure = np.full(len(batch), len(names) - 1), np.zeros(len(batch))
             if model.languages:
-                for lo, hi in blocks(texts):
-                    got = model.score(presence(*buffer_of(texts[lo:hi]), model.spectrum))
+                for lo, hi in slices(batch.column(held), 2_000_000):
+                    got = model.score(*buffer_of(batch.column(held)[lo:hi]))
                     best[lo:hi] = got.argmax(axis=1)
                     odds = np.exp(model.sharpness * (got - got.max(axis=1, keepdims=True)))
                     sure[lo:hi] = 1 / odds.sum(axis=1)
-                none = ~has_letter(texts)
+                none = ~has_letter(batch.column(held))
                 best[none], sure[none] = len(names) - 1, 0.0
             columns = [batch.column(c) for c in keep]
             yield pa.record_batch([*columns, pa.array(names[best], pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    source = docs.select(*keep) if own else docs.select(*keep, F.col("text").alias("_text"))
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(held))
     return source.mapInArrow(label, schema)

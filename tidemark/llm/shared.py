@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def private(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Only where the setting is absent (tests on one machine) is a local one made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
