@@ -15,6 +15,8 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 5, most: int
         docs.withColumn("tokens", dedup_tokens(F.col(text)))
         .withColumn("norm", F.array_join("tokens", " "))
         .withColumns({"digest": digest(F.col("norm")), "n_tokens": F.size("tokens"), "shingles": token_shingles(F.col("tokens"), width, most)})
+        # Candidates come from all shingles: a stride would lose long texts that differ by a token.
+        .withColumn("grams", F.when(F.col("n_tokens") > most, token_shingles(F.col("tokens"), width, 1 << 30)).otherwise(F.col("shingles")))
     )
 
 
@@ -29,9 +31,9 @@ def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens:
     share one among the first n - ceil(t*n) + 1 of each. Equal digests and containment are looked for beside it, so
     nothing at the threshold is missed, and no pair is formed but through a rare shingle or an equal text.
     """
-    big = docs.where(F.col("n_tokens") >= min_tokens).select(*group, "suffix", F.col("doc_id").alias("id"), "n_tokens", "digest", "norm", "shingles")
+    big = docs.where(F.col("n_tokens") >= min_tokens).select(*group, "suffix", F.col("doc_id").alias("id"), "n_tokens", "digest", "norm", "shingles", "grams")
     big = cut(big, "near-docs")
-    each = big.select(*group, "suffix", "id", F.size("shingles").alias("_n"), F.explode("shingles").alias("g"))
+    each = big.select(*group, "suffix", "id", F.size("grams").alias("_n"), F.explode("grams").alias("g"))
     common = each.groupBy(*group, "suffix", "g").agg(F.count(F.lit(1)).alias("_df"))
     rank = F.row_number().over(Window.partitionBy(*group, "suffix", "id").orderBy("_df", "g"))
     # Containment at t, too, leaves at least a share t of the shorter one's shingles in common, up to its ends.
@@ -52,7 +54,7 @@ def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens:
     return close.withColumn("similarity", sim).where(F.col("similarity") >= threshold).select(*group, "a", "b", "similarity")
 
 
-def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list, rounds: int = 60) -> DataFrame:
+def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list) -> DataFrame:
     """doc_id, keep, duplicate_of: documents in rank order, each dropped if it matches one that is kept.
 
     A document is decided once all its better-ranked matches are: kept if none of them is kept, dropped as soon as one
@@ -67,7 +69,7 @@ def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list
     edges = cut(edges, "greedy-edges")
     involved = edges.select(F.col("better").alias("id")).union(edges.select("worse")).distinct()
     state = involved.withColumn("keep", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    while True:
         seen = edges.join(state.select(F.col("id").alias("better"), F.col("keep").alias("_k")), "better").groupBy(F.col("worse").alias("id")).agg(
             F.bool_or(F.coalesce("_k", F.lit(False))).alias("_hit"), F.bool_or(F.col("_k").isNull()).alias("_wait")
         )

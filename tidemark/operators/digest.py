@@ -132,6 +132,12 @@ def promote_single(announcements: DataFrame) -> DataFrame:
     )
 
 
+# What an error text says of a network fault.
+NETWORK_NEEDLES = [
+    "openrouter request failed", "connecterror", "connection", "timed out", "timeout", "temporary failure", "network", "429", "502", "503", "504",
+]
+
+
 def circuit_breaker(outcomes: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
     """``outcomes`` (ok, network) with ``streak``, network failures since the last success, and ``open`` from there on."""
     from pyspark.sql import Window
@@ -144,8 +150,16 @@ def circuit_breaker(outcomes: DataFrame, group: list[str], order: list[str], lim
 
 def failed_on_network(error: Column) -> Column:
     """Does an error text name a network fault?"""
-    words = ["timeout", "timed out", "connection", "network", "dns", "unreachable", "reset by peer", "temporarily unavailable"]
-    return F.lower(error).rlike("|".join(words))
+    return F.lower(error).rlike("|".join(NETWORK_NEEDLES))
+
+
+def retry_reason(error: Column, malformed: Column) -> Column:
+    """Why a structured request is tried again."""
+    text = F.lower(error)
+    return (
+        F.when(malformed, "malformed_json").when(text.rlike("429|rate limit|throttl"), "rate_limited").when(text.rlike("timeout|timed out"), "timeout")
+        .when(F.contains(text, F.lit("5")) & F.contains(text, F.lit("openrouter request failed")), "provider_error").otherwise("structured_output_error")
+    )
 
 
 def backoff(attempt: Column, first: float = 1.0, most: float = 60.0, retry_after: Column | None = None, remaining: Column | None = None) -> Column:

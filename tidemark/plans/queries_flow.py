@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import digest, provenance, telemetry
+from tidemark.operators import provenance, telemetry
 from tidemark.plans.registry import announcements, query
 from tidemark.sources import extract, paged
 from tidemark.streaming import events as streams
@@ -15,13 +15,13 @@ STOP_SQL = "['yang','dan','atau','dari','pada','untuk','dengan','dalam','ini','i
 
 
 @query(f"""WITH c AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._%/-]*'), lambda w: length(w) > 2 AND NOT list_contains({STOP_SQL}, w))) AS t FROM benchmark),
-s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._%/-]*'))) AS tok FROM documents WHERE lang = 'en'),
+s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._%/-]*'))) AS tok FROM documents),
 m AS (SELECT item_id, doc_id, count(*) / max(len(t)) AS score FROM (SELECT item_id, t, unnest(t) AS tok FROM c) x JOIN s USING (tok) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM m)
 SELECT item_id, doc_id, score, rank FROM r WHERE (rank = 1 AND score >= 0.2) OR (rank = 2 AND best >= 0.2 AND score >= greatest(0.2, best - 0.08))""")
 def claim_match_top2(t, spark, sf):
     """D13, I7, I8, U12"""
-    out = provenance.match_sources(t("benchmark").select("item_id", "text"), t("documents").where("lang = 'en'").select("doc_id", "text"), "item_id", "doc_id")
+    out = provenance.match_sources(t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text"), "item_id", "doc_id")
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -34,25 +34,25 @@ def claim_sources_filter(t, spark, sf):
     return x.select("conv_id", F.array_join(provenance.clean_sources(F.col("ids"), known).cast("array<string>"), ",").alias("sources"))
 
 
-@query("""WITH x AS (SELECT doc_id, '===== PAGE 1 =====' || chr(10) || left(text, 150) || chr(10) || '===== PAGE 2 =====' || chr(10) || text AS text, CASE WHEN lang = 'en' THEN upper(text[160:190]) ELSE 'zzqq' END AS ev FROM documents WHERE length(text) > 400),
+@query("""WITH x AS (SELECT doc_id, '===== PAGE 1 =====' || chr(10) || left(text, 150) || chr(10) || '===== PAGE 2 =====' || chr(10) || text AS text, CASE WHEN lang = 'en' AND length(text) > 400 THEN upper(text[160:190]) ELSE 'zzqq' END AS ev FROM documents WHERE text IS NOT NULL),
 y AS (SELECT *, strpos(lower(text), lower(trim(ev))) AS pos, text[1:strpos(lower(text), lower(trim(ev)))-1] AS before FROM x)
 SELECT doc_id, CASE WHEN pos > 0 THEN 'exact_text' ELSE 'not_located' END AS match, CASE WHEN pos > 0 THEN length(before) - length(replace(before, chr(10), '')) + 1 END AS line, CASE WHEN pos > 0 THEN regexp_extract_all(before, '===== PAGE ([0-9]+) =====', 1)[-1]::INT END AS page FROM y""")
 def evidence_locator(t, spark, sf):
     """D15, F5"""
-    d = t("documents").where(F.length("text") > 400)
+    d = t("documents").where("text is not null")
     text = F.concat(F.lit("===== PAGE 1 =====\n"), F.substring("text", 1, 150), F.lit("\n===== PAGE 2 =====\n"), F.col("text"))
-    ev = F.when(F.col("lang") == "en", F.upper(F.substring("text", 160, 31))).otherwise("zzqq")
+    ev = F.when((F.col("lang") == "en") & (F.length("text") > 400), F.upper(F.substring("text", 160, 31))).otherwise("zzqq")
     return d.select("doc_id", provenance.locate(text, ev).alias("l")).select("doc_id", "l.match", F.col("l.line").cast("long").alias("line"), "l.page")
 
 
-@query("""SELECT * FROM (SELECT 'announced' AS kind, o_orderdate AS at, o_orderkey AS ref FROM orders WHERE o_custkey < 50 UNION ALL SELECT 'shipped', l_shipdate, l_orderkey FROM lineitem WHERE l_suppkey < 3
-UNION ALL SELECT 'event', ts, event_id FROM events WHERE user_id < 20 UNION ALL SELECT 'label', NULL, doc_id FROM labels)""")
+@query("""SELECT * FROM (SELECT 'announced' AS kind, o_orderdate AS at, o_orderkey AS ref FROM orders UNION ALL SELECT 'shipped', l_shipdate, l_orderkey FROM lineitem
+UNION ALL SELECT 'event', ts, event_id FROM events UNION ALL SELECT 'label', NULL, doc_id FROM labels)""")
 def process_timeline(t, spark, sf):
     """G8, H8"""
     return provenance.timeline([
-        t("orders").where("o_custkey < 50").select(F.lit("announced").alias("kind"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("ref")),
-        t("lineitem").where("l_suppkey < 3").select(F.lit("shipped").alias("kind"), F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("ref")),
-        t("events").where("user_id < 20").select(F.lit("event").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("ref")),
+        t("orders").select(F.lit("announced").alias("kind"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("ref")),
+        t("lineitem").select(F.lit("shipped").alias("kind"), F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("ref")),
+        t("events").select(F.lit("event").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("ref")),
         t("labels").select(F.lit("label").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("doc_id").alias("ref")),
     ])
 
@@ -133,11 +133,11 @@ def event_log_tail(t, spark, sf):
     return rows.where("_back <= 3").drop("_back")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS g, 'u' || l_linenumber AS url, CASE WHEN l_linenumber = 1 THEN '' ELSE 'F' || l_linenumber || '.PDF' END AS filename, CASE WHEN l_linenumber = 2 THEN '' ELSE l_returnflag END AS kind FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey <= 2000 QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
+@query("""WITH a AS (SELECT l_orderkey AS g, 'u' || l_linenumber AS url, CASE WHEN l_linenumber = 1 THEN '' ELSE 'F' || l_linenumber || '.PDF' END AS filename, CASE WHEN l_linenumber = 2 THEN '' ELSE l_returnflag END AS kind FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
 SELECT count(*) AS n, count(DISTINCT g) AS groups FROM a""")
 def distinct_sources(t, spark, sf):
     """Sources that occur once in their announcement"""
-    a = t("lineitem").where("l_linenumber <= 3 and l_orderkey <= 2000").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c")).where("c = 1")
+    a = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c")).where("c = 1")
     return a.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("groups"))
 
 
@@ -228,17 +228,10 @@ def stream_event_cursor(t, spark, sf):
     return streams.after_cursor(rows, "conv_id", "turn", cursors).select("conv_id", "turn", "role")
 
 
-@query("SELECT o_orderkey AS id2, '%' || o_orderkey || '%' AS claim FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS id2, '%' || o_orderkey || '%' AS claim FROM orders")
 def claim_texts(t, spark, sf):
     """I9"""
-    a = announcements(t).where("status = 'P'")
+    a = announcements(t)
     text = F.concat(F.lit(" %"), F.col("id2").cast("string"), F.lit("% "))
     none = F.lit(None).cast("string")
     return a.select("id2", provenance.claim_text(text, none, none, none, none).alias("claim"))
-
-
-@query("SELECT event_id, event_type = 'error' AS network FROM events")
-def network_errors(t, spark, sf):
-    """C20"""
-    message = F.when(F.col("event_type") == "error", "Connection reset by peer").otherwise("bad value")
-    return t("events").select("event_id", digest.failed_on_network(message).alias("network"))

@@ -78,19 +78,6 @@ def disclosure_class(t, spark, sf):
 TRIAGE_RISKS = {"insult": "(?i)idiot|moron", "capital-on": r"(?i)on\s+the\s+of", "the-the": r"(?is)\bthe\b.{0,40}\bthe\b.{0,40}\bthe\b"}
 
 
-@query("""WITH d AS (SELECT source, doc_id, text, CASE WHEN source LIKE 'src1%' THEN 'routine report' ELSE 'other' END AS title FROM documents WHERE doc_id % 50 < 9),
-f AS (SELECT source, max(title) AS title, sum(length(text))::BIGINT AS total_characters, count(text) AS document_count, min(length(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS least, string_agg(text, chr(10) ORDER BY doc_id) AS a FROM d GROUP BY 1),
-s AS (SELECT *, CASE WHEN title <> 'routine report' THEN 'not-routine' WHEN total_characters > 60000 THEN 'large-evidence' WHEN least < 40 THEN 'sparse-evidence' END AS odd,
- list_filter([CASE WHEN regexp_matches(a, '(?i)on\\s+the\\s+of') THEN 'capital-on' END, CASE WHEN regexp_matches(a, '(?i)idiot|moron') THEN 'insult' END, CASE WHEN regexp_matches(a, '(?is)\\bthe\\b.{0,40}\\bthe\\b.{0,40}\\bthe\\b') THEN 'the-the' END], lambda x: x IS NOT NULL) AS found FROM f)
-SELECT source, CASE WHEN odd IS NULL AND len(found) = 0 THEN 'routine_direct' ELSE 'full' END AS mode, CASE WHEN odd IS NOT NULL THEN odd WHEN len(found) > 0 THEN 'material-change' ELSE 'clean' END AS reason,
- CASE WHEN odd = 'not-routine' THEN '' WHEN odd IS NOT NULL THEN odd ELSE array_to_string(found, ',') END AS signals, total_characters, document_count FROM s""")
-def routine_triage(t, spark, sf):
-    """C12, C13, C15 with patterns that the test texts can match"""
-    d = t("documents").where("doc_id % 50 < 9").select("source", F.col("doc_id").alias("position"), "text", F.when(F.col("source").like("src1%"), "routine report").otherwise("other").alias("title"))
-    out = triage.triage(d, "source", most=60_000, least=40, routine="(?i)routine report", risks=TRIAGE_RISKS, ownership="(?i)nothing like this")
-    return out.select("source", "mode", "reason", F.array_join("signals", ",").alias("signals"), "total_characters", "document_count")
-
-
 @query("""WITH x AS (SELECT event_id, 'holder ' || event_type || ' ' || (event_id % 60) || ',5% then ' || (event_id % 60 + (event_id % 4) * 0.05)::DECIMAL(6,2) || ' % of shares' AS line FROM events),
 p AS (SELECT event_id, list_transform(regexp_extract_all(line, '(?:^|[^0-9])([0-9]{1,3}(?:[.,][0-9]{1,4})?)\\s*%', 1), lambda v: replace(v, ',', '.')::DOUBLE) AS v FROM x)
 SELECT event_id, list_min(v) AS low, list_max(v) AS high FROM p WHERE len(v) >= 2 AND list_max(v) - list_min(v) >= 0.4""")
