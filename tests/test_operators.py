@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import random
+import re
+import unicodedata
 import zipfile
 
 import pytest
@@ -70,10 +73,55 @@ def test_triage(spark):
 def test_greedy_drop_of_a_drop(spark):
     docs = spark.createDataFrame([("g", i, 10 - i) for i in range(4)], "grp string, doc_id long, n_tokens int")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
-    got = {r.doc_id: (r.keep, r.duplicate_of) for r in dedup.greedy_keep(docs, pairs, ["grp"], [F.desc("n_tokens")]).collect()}
+    got = {r.doc_id: (r.keep, r.duplicate_of) for r in dedup.greedy_keep(docs, pairs, ["grp"], [-F.col("n_tokens")]).collect()}
     assert got == {0: (True, None), 1: (False, 0), 2: (True, None), 3: (False, 2)}
 
 
+def test_suppression_against_a_sequential_rule(spark):
+    rnd = random.Random(5)
+    base = [" ".join(rnd.choice("ab cd ef gh ij kl mn op qr st uv".split()) + str(rnd.randrange(400)) for _ in range(160)) for _ in range(5)]
+    rows = []
+    for i in range(70):
+        words = rnd.choice(base).split()
+        if i % 3 == 0:
+            words[rnd.randrange(160)] = f"x{i}"
+        text = None if i == 69 else "tiny note" if i % 11 == 0 else " ".join(words)
+        rows.append((f"a{i % 2}", i, rnd.choice([".pdf", ".xlsx"]), rnd.choice([None, f"h{rnd.randrange(12)}"]), text))
+    docs = dedup.fingerprints(spark.createDataFrame(rows, "grp string, doc_id long, suffix string, file_hash string, text string"))
+    got = {r.doc_id: (r.keep, r.duplicate_of) for r in dedup.suppress(docs, ["grp"], 0.8, [-F.col("n_tokens"), F.col("doc_id")]).collect()}
+
+    def alike(x, y):
+        if x[3] and x[3] == y[3]:
+            return True
+        a, b = (x[4] or "").split(), (y[4] or "").split()
+        if x[2] != y[2] or min(len(a), len(b)) < 120 or min(len(a), len(b)) < 0.94 * max(len(a), len(b)):
+            return False
+        p, q = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        return len(p & q) / len(p | q) >= 0.8
+
+    want, kept = {}, []
+    for row in sorted(rows, key=lambda r: (-len((r[4] or "").split()), r[1])):
+        first = next((k[1] for k in kept if k[0] == row[0] and alike(row, k)), None)
+        want[row[1]] = (first is None, first)
+        kept += [row] if first is None else []
+    assert got == want and len(kept) < 40
+
+
+def test_tokens_are_compatible_forms(spark):
+    texts = ["\uff21\uff22\uff11 o\ufb03ce", "re\u0301sume", "caf\u00e9 x", "\u210c2\u00b2", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    got = {r.k: r.w for r in df.select("k", tx.dedup_tokens(F.col("x")).alias("w")).collect()}
+    want = {k: None if x is None else re.findall("[a-z0-9]+", unicodedata.normalize("NFKC", x).lower()) for k, x in enumerate(texts)}
+    assert got == want and got[0] == ["ab1", "office"]
+
+
+def test_fingerprints_tell_nulls_and_bars_apart(spark):
+    rows = [("p", 1, "a|b", "c"), ("q", 1, "a", "b|c"), ("r", 1, None, "c"), ("s", 1, "", "c")]
+    df = spark.createDataFrame(rows, "g string, k int, x string, y string").withColumn("h", F.lit(1))
+    each = [digest.input_fingerprint(df.where(F.col("g") == g), ["h"], ["k"], ["x", "y"], ["m"]).first().fingerprint for g in "pqrs"]
+    assert len(set(each)) == 4
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab\n", max_size=80), st.integers(2, 20))
 def test_chunks_are_lossless(text, size):

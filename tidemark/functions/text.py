@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +44,33 @@ def file_suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(base, r"[^.].*?(\.[^.]+)$", 1))
 
 
+@cache
+def _compatible() -> str:
+    """A character class of all code points through which NFKC can change the tokens of a text: those that become ASCII
+    letters or digits, and marks, which may join the letter before them."""
+    runs: list[list[int]] = []
+    for n in range(0x80, sys.maxunicode + 1):
+        c = chr(n)
+        if unicodedata.category(c)[0] == "M" or any(o < "\x80" and o.isalnum() for o in unicodedata.normalize("NFKC", c)):
+            if runs and runs[-1][1] == n - 1:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def nfkc(x: Column) -> Column:
+    """NFKC for token rules. Texts without a character that matters stay in the JVM as they are; only others go to Python."""
+
+    @F.pandas_udf("string")
+    def normal(t: pd.Series) -> pd.Series:
+        return t.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return F.coalesce(normal(F.when(x.rlike(_compatible()), x)), x)
+
+
 def dedup_tokens(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(nfkc(x)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def claim_tokens(x: Column) -> Column:

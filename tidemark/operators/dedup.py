@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import containment, dedup_tokens, digest, token_shingles
@@ -12,7 +12,7 @@ from tidemark.lineage import cut
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 5, most: int = 6000) -> DataFrame:
     """``docs`` with tokens, norm, digest, n_tokens and shingles."""
     return (
-        docs.withColumn("tokens", dedup_tokens(F.col(text)))
+        docs.withColumn("tokens", dedup_tokens(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("norm", F.array_join("tokens", " "))
         .withColumns({"digest": digest(F.col("norm")), "n_tokens": F.size("tokens"), "shingles": token_shingles(F.col("tokens"), width, most)})
         # Candidates come from all shingles: a stride would lose long texts that differ by a token.
@@ -54,16 +54,52 @@ def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens:
     return close.withColumn("similarity", sim).where(F.col("similarity") >= threshold).select(*group, "a", "b", "similarity")
 
 
-def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list) -> DataFrame:
-    """doc_id, keep, duplicate_of: documents in rank order, each dropped if it matches one that is kept.
+def one_per_class(docs: DataFrame, group: list[str], order: list[Column], min_tokens: int) -> DataFrame:
+    """``docs`` with ``head``, the best-ranked document of the class that meets every other document alike.
+
+    Long texts of one suffix and digest are a class, unless their file hash also occurs with another suffix or digest;
+    then the hash counts too. Short texts are a class by hash, and alone without one. So copies never meet in pairs.
+    """
+    files = docs.where("file_hash is not null").groupBy(*group, "file_hash").agg(F.min(F.struct("suffix", "digest")).alias("_lo"), F.max(F.struct("suffix", "digest")).alias("_hi"))
+    wide = files.where("_lo <> _hi").select(*group, "file_hash", F.lit(True).alias("_wide"))
+    long = F.col("n_tokens") >= min_tokens
+    by_hash = F.when(F.col("file_hash").isNotNull() & (F.coalesce("_wide", F.lit(False)) | ~long), F.concat(F.lit("h"), "file_hash"))
+    marked = docs.join(wide, [*group, "file_hash"], "left").withColumn(
+        "_class", F.coalesce(by_hash, F.when(~long, F.concat(F.lit("d"), F.col("doc_id").cast("string"))), F.lit("t")))
+    marked = marked.withColumn("_key", F.struct(*group, "suffix", "digest", "_class"))  # in a struct, null equals null
+    heads = marked.groupBy("_key").agg(F.min_by("doc_id", F.struct(*order)).alias("head"))
+    return marked.join(heads, "_key").drop("_key", "_class", "_wide")
+
+
+def same_file(docs: DataFrame, group: list[str]) -> DataFrame:
+    """(group, a, b): documents with one file hash, whatever their suffix and length."""
+    each = docs.where("file_hash is not null").select(*group, "file_hash", "doc_id")
+    return each.withColumnRenamed("doc_id", "a").join(each.withColumnRenamed("doc_id", "b"), [*group, "file_hash"]).where("a < b").select(*group, "a", "b")
+
+
+def suppress(docs: DataFrame, group: list[str], threshold: float, order: list[Column], min_tokens: int = 120) -> DataFrame:
+    """doc_id, keep, duplicate_of for ``docs`` (doc_id, file_hash, suffix, fingerprints): in rank order, each is dropped that has
+    the file hash of a kept one, or its suffix and at least ``threshold`` of its text. A null hash equals none."""
+    marked = cut(one_per_class(docs, group, order, min_tokens), "dedup-classes")
+    heads = marked.where("doc_id = head")
+    pairs = near_pairs(heads, group, threshold, min_tokens).select(*group, "a", "b").unionByName(same_file(heads, group)).distinct()
+    state = greedy_keep(heads, pairs, group, order).select(F.col("doc_id").alias("head"), F.col("keep").alias("_keep"), F.col("duplicate_of").alias("_of"))
+    is_head = F.col("doc_id") == F.col("head")
+    return marked.select("doc_id", "head").join(state, "head").select(
+        "doc_id", (is_head & F.col("_keep")).alias("keep"), F.coalesce("_of", F.when(~is_head, F.col("head"))).alias("duplicate_of"))
+
+
+def greedy_keep(docs: DataFrame, pairs: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """doc_id, keep, duplicate_of: documents in ``order`` (ascending, no ties), each dropped if it matches one that is kept.
 
     A document is decided once all its better-ranked matches are: kept if none of them is kept, dropped as soon as one
-    is. Every round decides at least the best undecided one of each cluster, all clusters at once.
+    is. Every round decides at least the best undecided one of each cluster, all clusters at once. Ranks are compared
+    pair by pair, so no group is sorted.
     """
-    ranked = docs.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).select(*group, F.col("doc_id").alias("id"), "rk")
+    ranked = docs.select(*group, F.col("doc_id").alias("id"), F.struct(*order).alias("rk"))
     a, b = ranked.select(F.col("id").alias("a"), F.col("rk").alias("ra")), ranked.select(F.col("id").alias("b"), F.col("rk").alias("rb"))
     edges = pairs.select("a", "b").join(a, "a").join(b, "b").select(
-        F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.least("ra", "rb").alias("brk"),
+        F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("ra")).otherwise(F.col("rb")).alias("brk"),
         F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse"),
     )
     edges = cut(edges, "greedy-edges")

@@ -89,17 +89,18 @@ def reuse_action(has_file: Column, has_text: Column) -> Column:
     return F.when(has_text, "reuse_text").when(has_file, "extract").otherwise("fetch")
 
 
-def canonical_list(order: list[str], fields: list[str]) -> Column:
-    """One canonical text of a group's ordered rows."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order])))
-    return F.array_join(F.transform(rows, lambda r: F.concat_ws("|", *[r[f].cast("string") for f in fields])), "\n")
+def canonical_json(value: Column) -> Column:
+    """One text a value: no blanks, nulls written out, so that two different values never read the same."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
 
 
 def input_fingerprint(rows: DataFrame, group: list[str], order: list[str], fields: list[str], lineage: list[str]) -> DataFrame:
-    """SHA-256 of lineage and ordered inputs: equal exactly if a rebuild would read the same."""
-    flat = rows.groupBy(*group).agg(canonical_list(order, fields).alias("_c"), F.count(F.lit(1)).alias("n"))
-    head = F.concat_ws("|", *[F.lit(x) for x in lineage], *[F.col(g).cast("string") for g in group])
-    return flat.select(*group, "n", digest(F.concat(head, F.lit("\n"), F.col("_c"))).alias("fingerprint"))
+    """SHA-256 of lineage and ordered inputs as JSON with sorted keys: equal exactly if a rebuild would read the same."""
+    names = sorted(fields)
+    taken = F.array_sort(F.collect_list(F.struct(*order, *[c for c in names if c not in order])))
+    flat = rows.groupBy(*group).agg(F.transform(taken, lambda r: F.struct(*[r[c].alias(c) for c in names])).alias("rows"), F.count(F.lit(1)).alias("n"))
+    facts = {"lineage": F.array(*[F.lit(x) for x in lineage]), "rows": F.col("rows")} | {g: F.col(g) for g in group}
+    return flat.select(*group, "n", digest(canonical_json(F.struct(*[facts[k].alias(k) for k in sorted(facts)]))).alias("fingerprint"))
 
 
 #: Fields of an announcement whose items become claims, and the claims' categories.

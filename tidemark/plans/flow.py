@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import file_suffix
 from tidemark.lineage import cut
 from tidemark.operators import coverage, dedup, digest, library, selection, store, triage
 
@@ -66,14 +67,14 @@ def accept(rows: DataFrame, request: Request, covered: DataFrame, done: DataFram
 def prepare(accepted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(selected, plans): the attachments that are read, without repeats, and each announcement's mode.
 
-    ``files`` has announcement_id, position, is_attachment, filename, url and text.
+    ``files`` has announcement_id, position, is_attachment, filename, url and text, and may have file_hash.
     """
     titled = files.join(accepted.select(F.col("id2").alias("announcement_id"), "title"), "announcement_id")
     chosen = cut(selection.classify(titled, ["announcement_id"]).where("selected"), "flow-selected")
-    marked = dedup.fingerprints(chosen.select("announcement_id", "url", "text", F.lit(".x").alias("suffix"), F.col("url").alias("doc_id"), "is_attachment", "filename"))
-    pairs = dedup.near_pairs(marked, ["announcement_id"], 0.985)
-    order = [F.col("is_attachment").cast("int"), F.desc("n_tokens"), F.lower("filename"), "doc_id"]
-    kept = dedup.greedy_keep(marked.select("announcement_id", "doc_id", "n_tokens", "is_attachment", "filename"), pairs, ["announcement_id"], order)
+    file_hash = F.col("file_hash") if "file_hash" in chosen.columns else F.lit(None).cast("string")
+    marked = dedup.fingerprints(chosen.select("announcement_id", "url", "text", file_suffix(F.col("filename")).alias("suffix"), file_hash.alias("file_hash"), F.col("url").alias("doc_id"), "is_attachment", "filename"))
+    order = [F.col("is_attachment").cast("int"), -F.col("n_tokens"), F.lower("filename"), F.col("doc_id")]
+    kept = dedup.suppress(marked, ["announcement_id"], 0.985, order)
     selected = chosen.join(kept.where("keep").select(F.col("doc_id").alias("url")), "url", "left_semi")
     return selected, triage.triage(selected, "announcement_id")
 
