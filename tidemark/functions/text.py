@@ -45,18 +45,18 @@ def file_suffix(name: Column) -> Column:
 
 
 @cache
-def _compatible() -> str:
-    """A character class of all code points through which NFKC can change the tokens of a text: those that become ASCII
-    letters or digits, and marks, which may join the letter before them."""
-    runs: list[list[int]] = []
-    for n in range(0x80, sys.maxunicode + 1):
-        c = chr(n)
-        if unicodedata.category(c)[0] == "M" or any(o < "\x80" and o.isalnum() for o in unicodedata.normalize("NFKC", c)):
-            if runs and runs[-1][1] == n - 1:
-                runs[-1][1] = n
-            else:
-                runs.append([n, n])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+def _foreign(least: int = 64) -> str:
+    """A character class that holds every code point through which NFKC can change the tokens of a text: those that become
+    ASCII letters or digits, and marks, which may join the letter before them. It is all but the runs of ``least`` or more
+    code points without such a one, so that the class stays short and common letters are passed at once."""
+    runs, start = [], 0
+    for n in range(sys.maxunicode + 2):
+        c = chr(min(n, sys.maxunicode))
+        if n > sys.maxunicode or n >= 0x80 and (unicodedata.category(c)[0] == "M" or any(o < "\x80" and o.isalnum() for o in unicodedata.normalize("NFKC", c))):
+            if n - start >= least:
+                runs.append((start, n - 1))
+            start = n + 1
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
 
 
 def nfkc(x: Column) -> Column:
@@ -66,7 +66,7 @@ def nfkc(x: Column) -> Column:
     def normal(t: pd.Series) -> pd.Series:
         return t.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.coalesce(normal(F.when(x.rlike(_compatible()), x)), x)
+    return F.coalesce(normal(F.when(x.rlike(_foreign()), x)), x)
 
 
 def dedup_tokens(x: Column) -> Column:
