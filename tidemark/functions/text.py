@@ -66,7 +66,7 @@ def nfkc(x: Column) -> Column:
     def normal(t: pd.Series) -> pd.Series:
         return t.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.coalesce(normal(F.when(x.rlike(_foreign()), x)), x)
+    return F.coalesce(normal(F.when(x.rlike("[^\\x00-\\x7F]") & x.rlike(_foreign()), x)), x)
 
 
 def dedup_tokens(x: Column) -> Column:
