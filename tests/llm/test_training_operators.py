@@ -528,3 +528,13 @@ def test_op3_deal_against_a_plain_one(spark):
                 dealt[shard, sid] += b - a
         at = at + left
     assert (dealt == whole).all()
+
+
+def test_span_hashes_beyond_the_kept_powers():
+    from tidemark.llm import textcore
+
+    points = np.arange(2 * textcore.KEPT + 10, dtype=np.uint32) % 7
+    starts = np.array([0, 7, 2 * textcore.KEPT - 2 * textcore.KEPT % 7])
+    assert len(set(textcore.span_hash(textcore.prefix_hash(points), starts, starts + 5).tolist())) == 1
+    up, down = textcore.powers(2 * textcore.KEPT)
+    assert (up * down == 1).all() and all(len(kept) == textcore.KEPT for kept in textcore._powers.values())

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bounded_batches, materialize, private
-from tidemark.llm.textcore import LOWER, buffer_of, slices
+from tidemark.llm.textcore import LOWER, buffer_of, give_back, slices
 
 UNKNOWN = "und"
 BLOCK_ROWS = 64
@@ -221,6 +221,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 best[none], sure[none] = len(names) - 1, 0.0
             columns = [batch.column(c) for c in keep]
             yield pa.record_batch([*columns, pa.array(names[best], pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
+        give_back()
 
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(held))
     return source.mapInArrow(label, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialize
+from tidemark.llm.textcore import give_back
 
 
 #: Characters encoded at a time: what a worker holds besides its batch is some sixty times as many bytes.
@@ -164,8 +165,9 @@ class FastBytePairs:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        strange = np.concatenate([[0], np.cumsum((points >= self.SAFE) | (points == 39))])
-        odd = strange[offsets[1:]] > strange[offsets[:-1]]
+        strange = np.flatnonzero((points >= self.SAFE) | (points == 39))
+        odd = np.searchsorted(strange, offsets[1:]) > np.searchsorted(strange, offsets[:-1])
+        del strange
         for token in self.added:
             odd |= np.fromiter((token in t for t in texts), dtype=bool, count=len(texts))
         for k in np.flatnonzero(odd).tolist():
@@ -249,6 +251,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing:
                         for column, value in zip(rows, (key, k, a, b - a, raw if keep_ids else zlib.crc32(raw)), strict=True):
                             column.append(value)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        give_back()
 
     ddl = "doc_id long, piece int, start long, length long, " + ("ids binary" if keep_ids else "ids_crc32 long")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, ddl)

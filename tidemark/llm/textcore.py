@@ -7,24 +7,41 @@ whose powers have inverses), so no Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+KEPT = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def power(base: np.uint64, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < n; the first ``KEPT`` stay for the life of the worker, and more are made for the call
+    alone, so that one very long text leaves nothing behind."""
+    if n <= KEPT and int(base) in _powers:
+        return _powers[int(base)][:n]
+    steps = np.full(max(n, KEPT), base, dtype=np.uint64)
+    steps[0] = 1
+    np.cumprod(steps, dtype=np.uint64, out=steps)
+    if n <= KEPT:
+        _powers[int(base)] = steps
+    return steps[:n]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the life of the worker."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+    return power(BASE, n), power(BASE_INVERSE, n)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: an idle Python worker otherwise holds its largest batch until the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only where the C library has it
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,16 +100,16 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tu
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """P with P[i] = sum of (data[j] + 1) * BASE**j for j < i."""
-    up, _ = powers(len(data) + 1)
+    up = power(BASE, len(data))
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
     return total
 
 
 def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Equal spans have equal hashes wherever they stand."""
-    _, down = powers(len(total))
+    down = power(BASE_INVERSE, len(total))
     return mix((total[ends] - total[starts]) * down[starts])
 
 
