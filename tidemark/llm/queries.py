@@ -106,6 +106,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held, "lang_pred", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import fit_whitening, whitened
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors, components=4)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained[:4]]) if model.n else F.array(F.lit(0.0))
+    rows = whitened(vectors, model, components=4, keep=["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.element_at(explained, F.col("place") + 1).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
