@@ -106,6 +106,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held, "lang_pred", "score")
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.turns import damage, repairs_of
+
+    conversations = _table(spark, sf_dir, "conversations")
+    return repairs_of(damage(conversations), ids=conversations)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.whitening import fit_whitening, whitened
 
@@ -136,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op12_turns": op12_turns,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
