@@ -7,6 +7,7 @@ import heapq
 import random
 import zlib
 
+import duckdb
 import pytest
 
 DDL = "conv_id long, turn long, role string, text string, id int, k string, audit int"
@@ -133,12 +134,15 @@ def test_repaired_turns_match_the_grammar(spark):
 
 
 def test_empty_and_query(spark):
-    from tidemark.llm.queries import QUERIES
+    from tidemark.llm.queries import ORACLES, QUERIES
     from tidemark.llm.turns import repairs_of
 
     assert repairs_of(spark.createDataFrame([], DDL)).count() == 0
     data = "/root/testdata/sf0.001"
     got = {r[0]: tuple(r[1:]) for r in QUERIES["op12_turns"](spark, data).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    assert {r[0]: tuple(r[1:]) for r in con.execute(ORACLES["op12_turns"]).fetchall()} == got
     assert got == plain([tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()])
 
 
