@@ -108,6 +108,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held, "lang_pred", "score")
 
 
+def op11_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.brown import brown_scores
+
+    model, rows = brown_scores(_table(spark, sf_dir, "documents"), learn_from=_remainder(5) != 1, keep=["doc_id"])
+    held = (_remainder(5) == 1).alias("held_out")
+    return rows.select("doc_id", held, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.turns import damage, repairs_of
 
@@ -145,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_brown": op11_brown,
     "op12_turns": op12_turns,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
