@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import times
 from tidemark.operators import coverage, dedup, digest, library, provenance, selection, store, telemetry, triage, validate
+from tidemark.operators.attachments import merge_candidates
 from tidemark.sources import extract, paged
 
 
@@ -168,10 +169,48 @@ def test_locate(spark):
     assert [(x.match, x.line, x.page) for x in got] == [("exact_text", 2, 1), ("normalized_text", None, None), ("not_located", None, None)]
 
 
+def listed(first, second, columns):
+    """The list as a plain fold, a row after the other."""
+    out = {}
+    for g in {r[0] for r in first + second}:
+        merged, urls, names = [], {}, {}
+        for source in (first, second):
+            for r in sorted((x for x in source if x[0] == g), key=lambda x: x[1]):
+                item = dict(zip(columns, r[2:]))
+                url, name = (item["url"] or "").strip(), (item["filename"] or "").strip().casefold()
+                at = urls.get(url, names.get(name))
+                if at is None:
+                    at = len(merged)
+                    merged.append({c: None for c in columns})
+                    urls.update({url: at} if url else {})
+                    names.update({name: at} if name else {})
+                    merged[at] = dict(item)
+                for c, v in item.items():
+                    if merged[at][c] in (None, ""):
+                        merged[at][c] = v if v not in (None, "") else merged[at][c]
+        out[g] = sorted((tuple(m[c] for c in columns) for m in merged), key=str)
+    return out
+
+
 def test_merge_candidates(spark):
-    a = spark.createDataFrame([(1, "u1", "A.pdf", ""), (1, "", "b.PDF", "t")], "group_id int, url string, filename string, kind string")
-    b = spark.createDataFrame([(1, "u1", "other.pdf", "k"), (1, "u2", "B.pdf", "z"), (1, "u3", "c.pdf", "w")], "group_id int, url string, filename string, kind string")
-    assert rows(provenance.merge_candidates(a, b, ["url", "filename", "kind"])) == [(1, "u1", "A.pdf", "k"), (1, "u2", "b.PDF", "t"), (1, "u3", "c.pdf", "w")]
+    rng, columns = random.Random(4), ["url", "filename", "kind"]
+    ddl = "group_id long, pos int, url string, filename string, kind string"
+
+    def made(n):
+        urls, names = ["u1", "u2", "u3", " u4", "", None], ["a.pdf", "A.PDF", "b", "c", "Straße", "STRASSE", "", None]
+        return [(rng.choice([1, 2, 3, None]), p, rng.choice(urls), rng.choice(names), rng.choice(["x", "", None, "y"])) for p in range(n)]
+
+    first, second = made(60), made(50)
+    got = {}
+    for r in merge_candidates(spark.createDataFrame(first, ddl).repartition(3), spark.createDataFrame(second, ddl).repartition(3), columns, ["pos"]).collect():
+        got.setdefault(r[0], []).append(tuple(r[1:]))
+    assert {g: sorted(v, key=str) for g, v in got.items()} == listed(first, second, columns)
+    # A url shared by two announcements joins nothing across them.
+    a = spark.createDataFrame([(1, 0, "u", "a.pdf", "one"), (2, 0, "u", "b.pdf", None)], ddl)
+    b = spark.createDataFrame([(1, 0, "u", "z.pdf", "x"), (2, 0, "u", "a.pdf", "two")], ddl)
+    assert rows(merge_candidates(a, b, columns, ["pos"])) == [(1, "u", "a.pdf", "one"), (2, "u", "b.pdf", "two")]
+    none = spark.createDataFrame([], ddl)
+    assert merge_candidates(none, none, columns, ["pos"]).count() == 0
 
 
 def test_gate_and_peak(spark):

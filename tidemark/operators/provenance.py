@@ -58,17 +58,3 @@ def timeline(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.orderBy(F.col("at").asc_nulls_first(), "kind", "ref")
-
-
-def merge_candidates(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
-    """Attachments of two sources as one list: matched by url, else by name without case; the first source wins, blanks
-    are filled from the second."""
-    left, right = first.withColumn("_a", F.monotonically_increasing_id()), second.withColumn("_b", F.monotonically_increasing_id())
-    by_url = left.select("_a", F.col("url").alias("_u")).where("_u <> ''").join(right.select("_b", "group_id", F.col("url").alias("_u")), "_u").select("_a", "_b")
-    rest_a, rest_b = left.join(by_url, "_a", "left_anti"), right.join(by_url, "_b", "left_anti")
-    by_name = rest_a.select("_a", "group_id", F.lower("filename").alias("_f")).where("_f <> ''").join(rest_b.select("_b", "group_id", F.lower("filename").alias("_f")), ["group_id", "_f"]).select("_a", "_b")
-    pairs = by_url.unionByName(by_name).groupBy("_a").agg(F.min("_b").alias("_b"))
-    pairs = pairs.groupBy("_b").agg(F.min("_a").alias("_a"))
-    both = left.join(pairs, "_a", "left").join(right.select("_b", *[F.col(c).alias(f"_r_{c}") for c in columns]), "_b", "left")
-    merged = both.select("group_id", *[F.coalesce(F.expr(f"nullif({c}, '')"), F.col(f"_r_{c}")).alias(c) for c in columns])
-    return merged.unionByName(right.join(pairs, "_b", "left_anti").select("group_id", *columns))

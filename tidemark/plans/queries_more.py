@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import digest, ordering, provenance, triage, validate
+from tidemark.operators import digest, ordering, triage, validate
+from tidemark.operators.attachments import merge_candidates
 from tidemark.plans.registry import ATTACHMENTS_SQL, WINDOWS_SQL, announcements, attachments, query, windows
 
 
@@ -115,17 +116,36 @@ def company_isolation(t, spark, sf):
     return o.groupBy("k").agg(validate.isolated(o, "f").alias("isolated"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS g, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'u' || o_orderkey END AS url, 'F' || o_orderkey || '.PDF' AS filename, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS kind FROM orders WHERE o_orderkey % 7 <> 0),
-b AS (SELECT o_orderkey AS g, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'u' || o_orderkey END AS url, 'f' || o_orderkey || '.pdf' AS filename, 'S' || o_orderpriority AS kind FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT coalesce(a.g, b.g) AS group_id, CASE WHEN a.g IS NULL THEN b.url ELSE coalesce(nullif(a.url, ''), b.url) END AS url, CASE WHEN a.g IS NULL THEN b.filename ELSE a.filename END AS filename, CASE WHEN a.g IS NULL THEN b.kind ELSE coalesce(nullif(a.kind, ''), b.kind) END AS kind FROM a FULL JOIN b ON a.g = b.g""")
+_LINE = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT l_orderkey AS g, 0 AS source, {_LINE}, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 'u' || (l_suppkey % 3) END AS url,
+  CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE 'F' || (l_partkey % 4) || '.PDF' END AS filename, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END AS kind FROM lineitem WHERE l_linenumber <> 5),
+b AS (SELECT l_orderkey AS g, 1 AS source, {_LINE}, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'u' || (l_partkey % 6) END AS url, 'f' || (l_suppkey % 5) || '.pdf' AS filename, 'S' || l_linestatus AS kind FROM lineitem WHERE l_linenumber <> 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY source, {_LINE}) AS i FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+fold(g, i, urls, names, places) USING KEY (g) AS (
+  SELECT DISTINCT g, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[] FROM r
+  UNION
+  SELECT g, i, CASE WHEN hit IS NULL THEN list_append(urls, url) ELSE urls END, CASE WHEN hit IS NULL THEN list_append(names, name) ELSE names END, list_append(places, coalesce(hit, len(urls) + 1)::BIGINT)
+  FROM (SELECT f.*, r.i AS next, nullif(r.url, '') AS url, nullif(lower(r.filename), '') AS name, coalesce(CASE WHEN r.url <> '' THEN list_position(f.urls, r.url) END, CASE WHEN r.filename <> '' THEN list_position(f.names, lower(r.filename)) END) AS hit
+        FROM fold f JOIN r ON r.g = f.g AND r.i = f.i + 1) x(g, old, urls, names, places, i, url, name, hit)),
+told AS (SELECT g, unnest(places) AS place, generate_subscripts(places, 1) AS i FROM fold)
+SELECT r.g AS group_id, coalesce(arg_min(url, r.i) FILTER (url <> ''), CASE WHEN bool_or(url IS NOT NULL AND r.i = first_i) THEN '' END) AS url, arg_min(filename, r.i) FILTER (filename <> '') AS filename,
+  coalesce(arg_min(kind, r.i) FILTER (kind <> ''), '') AS kind
+FROM (SELECT t.*, min(t.i) OVER (PARTITION BY t.g, t.place) AS first_i FROM told t) t JOIN r ON r.g = t.g AND r.i = t.i GROUP BY r.g, t.place""")
 def merged_attachments(t, spark, sf):
-    """D11, U11"""
-    o = t("orders")
-    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
-    url = lambda n: F.when(key % n == 0, "").otherwise(F.concat(F.lit("u"), text)).alias("url")
-    a = o.where("o_orderkey % 7 <> 0").select(key.alias("group_id"), url(3), F.concat(F.lit("F"), text, F.lit(".PDF")).alias("filename"), F.when(key % 2 == 0, "").otherwise(F.col("o_orderstatus")).alias("kind"))
-    b = o.where("o_orderkey % 5 <> 0").select(key.alias("group_id"), url(4), F.concat(F.lit("f"), text, F.lit(".pdf")).alias("filename"), F.concat(F.lit("S"), "o_orderpriority").alias("kind"))
-    return provenance.merge_candidates(a, b, ["url", "filename", "kind"])
+    """Urls and names repeat inside and across announcements, in either source"""
+    rows = t("lineitem")
+    group, order = F.col("l_orderkey").alias("group_id"), [c.strip() for c in _LINE.split(",")]
+    mark = lambda text, column, n, end="": F.concat(F.lit(text), (F.col(column) % n).cast("string"), F.lit(end))
+    a = rows.where("l_linenumber <> 5").select(
+        group, *order, F.when(F.col("l_suppkey") % 4 == 0, "").otherwise(mark("u", "l_suppkey", 3)).alias("url"), F.when(F.col("l_partkey") % 5 != 0, mark("F", "l_partkey", 4, ".PDF")).alias("filename"),
+        F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.col("l_returnflag")).alias("kind"),
+    )
+    b = rows.where("l_linenumber <> 3").select(
+        group, *order, F.when(F.col("l_partkey") % 3 != 0, mark("u", "l_partkey", 6)).alias("url"), mark("f", "l_suppkey", 5, ".pdf").alias("filename"), F.concat(F.lit("S"), "l_linestatus").alias("kind"),
+    )
+    return merge_candidates(a, b, ["url", "filename", "kind"], order)
 
 
 @query("""SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.0f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size
