@@ -57,30 +57,38 @@ def valid_cache(rows: DataFrame, model: str | None = None, prompt: str | None =
 
 
 class VersionedStore:
-    """A table as a folder of Parquet versions with a pointer file, written last."""
+    """A table as a folder of Parquet versions with a pointer, written last: a line a version, with the batch it came from."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]) -> None:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
 
-    def _version(self) -> str | None:
+    def _last(self) -> tuple[int, str, int] | None:
+        """Number, version and batch (-1: none) of the newest line."""
         pointer = f"{self.path}/_current"
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(pointer)
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return None
-        return self.spark.read.text(pointer).orderBy(F.desc("value")).first()[0].split(" ", 1)[1]
+        newest = self.spark.read.text(pointer).orderBy(F.desc("value")).first()
+        if newest is None:  # a write that ended before its line
+            return None
+        number, version, *batch = newest[0].split(" ")
+        return int(number), version, int(batch[0]) if batch else -1
 
     def read(self) -> DataFrame | None:
-        version = self._version()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
-
-    def merge(self, new: DataFrame, order: list | None = None) -> DataFrame:
+        last = self._last()
+        return self.spark.read.parquet(f"{self.path}/{last[1]}") if last else None
+
+    def merge(self, new: DataFrame, order: list | None = None, batch: int | None = None) -> DataFrame | None:
+        """Upsert ``new``; of several rows of a key the first in ``order`` stays. With ``batch``, the number of a stream's batch: one
+        that has been merged already is passed over."""
+        last = self._last()
+        if batch is not None and last is not None and batch <= last[2]:
+            return self.read()
         old = self.read()
-        return self._publish(latest_per_key(new, self.keys, order or [F.lit(1)]) if old is None else upsert(old, new, self.keys, order))
-
-    def _publish(self, rows: DataFrame) -> DataFrame:
+        rows = latest_per_key(new, self.keys, order or [F.lit(1)]) if old is None else upsert(old, new, self.keys, order)
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{version}")
-        count = self.spark.read.text(f"{self.path}/_current").count() if self._version() else 0
-        self.spark.createDataFrame([(f"{count:012d} {version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_current")
+        line = f"{last[0] + 1 if last else 0:012d} {version} {(last[2] if last else -1) if batch is None else batch}"
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_current")
         return self.read()
