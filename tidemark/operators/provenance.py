@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import claim_tokens
+from tidemark.lineage import cut
 
 
 def clean_sources(ids: Column, known: Column) -> Column:
@@ -14,20 +15,32 @@ def clean_sources(ids: Column, known: Column) -> Column:
     return F.when((F.size(kept) == 0) & (F.size(known) == 1), known).otherwise(kept)
 
 
-def match_sources(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float = 0.20, slack: float = 0.08) -> DataFrame:
-    """Best sources of each claim by shared tokens: the best at ``least`` or more, and the second if within ``slack`` of it.
+def match_sources(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float = 0.20, slack: float = 0.08, group: list[str] | None = None) -> DataFrame:
+    """Best sources of each claim by shared tokens: the best at ``least`` or more, and the second if within ``slack`` of it; inside
+    ``group``, if one is given.
 
-    An inverted index on tokens does the matching: a pair that shares no token can't score, so no other is formed.
+    A claim of n tokens reaches ``least`` only with ceil(least * n) of them, so one is among its n - ceil(least * n) + 1 rarest: those
+    alone form pairs, by an inverted index of the tokens that claims have. A claim's commonest tokens are only counted for
+    pairs that stand, by source and token, which no token makes hot.
     """
-    tokens = claims.select(claim_id, claim_tokens(F.col("text")).alias("_t"))
-    sized = tokens.select(claim_id, F.size("_t").alias("_n"), F.explode("_t").alias("tok"))
-    index = sources.select(source_id, F.explode(claim_tokens(F.col("text"))).alias("tok"))
-    score = sized.join(index, "tok").groupBy(claim_id, source_id).agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
-    order = Window.partitionBy(claim_id).orderBy(F.desc("score"), F.desc(source_id))
+    group = group or []
+    own = claims.select(*group, claim_id, claim_tokens(F.col("text")).alias("_t"))
+    said = cut(own.select(*group, claim_id, F.size("_t").alias("_n"), F.explode("_t").alias("tok")), "claim-tokens")
+    index = sources.select(*group, source_id, F.explode(claim_tokens(F.col("text"))).alias("tok"))
+    index = cut(index.join(said.select(*group, "tok").distinct(), [*group, "tok"], "left_semi"), "source-tokens")
+    rarity = index.groupBy(*group, "tok").agg(F.count(F.lit(1)).alias("_df"))
+    placed = said.join(rarity, [*group, "tok"], "left").withColumn("_r", F.row_number().over(Window.partitionBy(*group, claim_id).orderBy(F.coalesce("_df", F.lit(0)), "tok")))
+    placed = cut(placed.withColumn("_lead", F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(least) - 1e-9) + 1), "claim-prefixes")
+    met = placed.where("_lead").join(index, [*group, "tok"]).groupBy(*group, claim_id, source_id).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    met = cut(met, "claim-pairs")
+    more = met.select(*group, claim_id, source_id).join(placed.where("not _lead").select(*group, claim_id, "tok"), [*group, claim_id]).join(index, [*group, source_id, "tok"], "left_semi")
+    counted = met.join(more.groupBy(*group, claim_id, source_id).agg(F.count(F.lit(1)).alias("_m")), [*group, claim_id, source_id], "left")
+    score = counted.select(*group, claim_id, source_id, ((F.col("_c") + F.coalesce("_m", F.lit(0))) / F.col("_n")).alias("score"))
+    order = Window.partitionBy(*group, claim_id).orderBy(F.desc("score"), F.desc(source_id))
     best = F.first("score").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = score.withColumns({"rank": F.row_number().over(order), "_best": best})
     fits = ((F.col("rank") == 1) & (F.col("score") >= least)) | ((F.col("rank") == 2) & (F.col("_best") >= least) & (F.col("score") >= F.greatest(F.lit(least), F.col("_best") - slack)))
-    return ranked.where(fits).select(claim_id, source_id, "score", "rank")
+    return ranked.where(fits).select(*group, claim_id, source_id, "score", "rank")
 
 
 def locate(text: Column, evidence: Column) -> Column:
