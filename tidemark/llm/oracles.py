@@ -44,4 +44,42 @@ SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, co
   coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(left(e.best.made, greatest(length(e.best.made) - 1, 0)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, coalesce(conv_id, -9223372036854775808) AS c FROM conversations) o LEFT JOIN counts n ON n.c = o.c LEFT JOIN ended e ON e.c = o.c"""
 
-ORACLES: dict[str, str] = {"op12_turns": TURNS}
+
+def _components(links: str, nodes: str) -> str:
+    """Smallest node reachable, for ``nodes`` (v) over ``links`` (a, b, both ways): labels travel until none falls."""
+    return f"""reach(v, c) USING KEY (v) AS (
+  SELECT v, v FROM {nodes}
+  UNION
+  SELECT l.a, min(n.c) FROM reach n JOIN {links} l ON l.b = n.v JOIN recurring.reach o ON o.v = l.a WHERE n.c < o.c GROUP BY l.a)"""
+
+
+#: All pairs by an inverted index of five-word shingles.
+NGRAM_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+g AS (SELECT doc_id, w, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, max(x.n) AS na, max(y.n) AS nb, count(*) AS c FROM e x JOIN e y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) WHERE c >= 0.8 * (na + nb - c)),
+nodes AS (SELECT doc_id AS v FROM g),
+{_components("links", "nodes")},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1),
+same AS (SELECT doc_id, count(*) OVER (PARTITION BY w) AS copies FROM g)
+SELECT w.doc_id, coalesce(c, w.doc_id) AS class_id, coalesce(n.n, 0) AS n_links, coalesce(copies, 1) AS copies, coalesce(c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN reach ON v = w.doc_id LEFT JOIN n ON n.a = w.doc_id LEFT JOIN same ON same.doc_id = w.doc_id"""
+
+#: All pairs of usable vectors by cosine.
+VECTOR_DEDUP = f"""WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9),
+nodes AS (SELECT vec_id AS v FROM u),
+{_components("links", "nodes")},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN reach ON v = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+_BITS = "list_transform(string_split(sha, ''), lambda h: lpad(bin(('0x' || h)::BIGINT), 4, '0'))"
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+#: SHA-1 in base32 from its hexadecimal form, five bits a character.
+WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT *, array_to_string({_BITS}, '') AS bits, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr({_BASE32}, list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(bits, i * 5 + j + 1, 1) = '1' THEN 1 << (4 - j) ELSE 0 END))::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": NGRAM_JOIN, "op6_warc": WARC, "op7_vector_dedup": VECTOR_DEDUP, "op12_turns": TURNS}
