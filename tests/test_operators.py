@@ -213,6 +213,21 @@ def test_merge_candidates(spark):
     assert merge_candidates(none, none, columns, ["pos"]).count() == 0
 
 
+def test_ewma_in_blocks(spark):
+    rng = random.Random(8)
+    data = [(g, k, v) for g in ("a", "b", "c", None) for k in range(40) for v in [rng.choice([0.0, -1.0, rng.random() * 9]) if k > 5 else 0.0]] + [("z", 0, 0.0)]
+    want = {}
+    for g, _, v in data:
+        mean, n = want.get(g, (0.0, 0))
+        v = max(0.0, v)
+        want[g] = (v if mean <= 0 else 0.22 * v + 0.78 * mean, n + 1)
+    df = spark.createDataFrame(data, "g string, k int, v double").repartition(3)
+    for block in (1, 3, 12):
+        got = {r.g: (r.ewma, r.n) for r in telemetry.ewma(df, ["g"], ["k"], "v", block=block).collect()}
+        assert got.keys() == want.keys() and all(got[g] == (pytest.approx(want[g][0]), want[g][1]) for g in want)
+    assert telemetry.ewma(df.limit(0), ["g"], ["k"], "v").count() == 0
+
+
 def test_gate_and_peak(spark):
     kinds = ["throttle", "ok", "ok", "ok", "ok", "transient"]
     df = spark.createDataFrame([("p", i, k) for i, k in enumerate(kinds)], "p string, t int, k string")

@@ -24,34 +24,53 @@ def exact_groups(docs: DataFrame, key: str = "digest", least: int = 2) -> DataFr
     return docs.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where(F.col("copies") >= least)
 
 
-def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> DataFrame:
-    """(group, a, b, similarity) of documents of one group and suffix that are alike; a < b by id.
-
-    Candidates share a shingle of a prefix: with shingles in one global order, rarest first, two sets at Jaccard >= t
-    share one among the first n - ceil(t*n) + 1 of each. Equal digests and containment are looked for beside it, so
-    nothing at the threshold is missed, and no pair is formed but through a rare shingle or an equal text.
+def near_classes(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): texts of one group and suffix that are alike. A member is (group, rep, id): ``rep`` is the least id of those with
+    the same tokens, itself included. A pair is (group, a, b, similarity) of two representatives, a < b, so copies never meet in pairs.
+
+    Candidates share a shingle of a prefix: with shingles in one global order, rarest first, two sets that have a share t of the
+    shorter one's in common share one among the first n - ceil(t*n) + 1 of each. Texts of too different lengths are no
+    candidates. Similarity is containment, or Jaccard of the shingles, which texts of over 6,000 tokens have at a stride: what
+    contains another at t, or is at Jaccard t of all its shingles, is always looked at, and then judged by that rule.
     """
-    big = docs.where(F.col("n_tokens") >= min_tokens).select(*group, "suffix", F.col("doc_id").alias("id"), "n_tokens", "digest", "norm", "shingles", "grams")
-    big = cut(big, "near-docs")
-    each = big.select(*group, "suffix", "id", F.size("grams").alias("_n"), F.explode("grams").alias("g"))
-    common = each.groupBy(*group, "suffix", "g").agg(F.count(F.lit(1)).alias("_df"))
-    rank = F.row_number().over(Window.partitionBy(*group, "suffix", "id").orderBy("_df", "g"))
-    # Containment at t, too, leaves at least a share t of the shorter one's shingles in common, up to its ends.
-    reach = F.col("_n") - F.ceil(F.col("_n") * F.lit(threshold)) + 1
-    prefix = each.join(common.where("_df > 1"), [*group, "suffix", "g"]).withColumn("_r", rank)
-    lead = each.join(common.where("_df = 1"), [*group, "suffix", "g"], "left_semi").groupBy(*group, "suffix", "id").agg(F.count(F.lit(1)).alias("_solo"))
-    prefix = prefix.join(lead, [*group, "suffix", "id"], "left").where(F.col("_r") + F.coalesce("_solo", F.lit(0)) <= reach).select(*group, "suffix", "g", "id")
-    left, right = prefix.withColumnRenamed("id", "a"), prefix.withColumnRenamed("id", "b")
-    pairs = left.join(right, [*group, "suffix", "g"]).where("a < b").select(*group, "suffix", "a", "b")
-    same = big.select(*group, "suffix", "digest", F.col("id").alias("a")).join(big.select(*group, "suffix", "digest", F.col("id").alias("b")), [*group, "suffix", "digest"]).where("a < b").select(*group, "suffix", "a", "b")
-    one = big.select(*[F.col(c) for c in group], F.col("id").alias("a"), F.col("n_tokens").alias("na"), F.col("digest").alias("da"), F.col("norm").alias("xa"), F.col("shingles").alias("sa"))
-    two = big.select(*[F.col(c) for c in group], F.col("id").alias("b"), F.col("n_tokens").alias("nb"), F.col("digest").alias("db"), F.col("norm").alias("xb"), F.col("shingles").alias("sb"))
-    full = pairs.unionByName(same).distinct().join(one, [*group, "a"]).join(two, [*group, "b"])
-    close = full.where(F.least("na", "nb") >= ratio * F.greatest("na", "nb"))
+    keyed = docs.where(F.col("n_tokens") >= min_tokens).withColumn("_key", F.struct(*group, "suffix"))  # in a struct, null equals null
+    heads = keyed.groupBy("_key", "digest").agg(F.min("doc_id").alias("rep"))
+    members = cut(keyed.select("_key", "digest", F.col("doc_id").alias("id"), *group).join(heads, ["_key", "digest"]).select("_key", *group, "rep", "id"), "near-members")
+    big = keyed.join(members.where("rep = id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    big = cut(big.select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles", "grams"), "near-docs")
+    each = big.select("_key", "id", "n_tokens", F.size("grams").alias("_n"), F.explode("grams").alias("g"))
+    common = each.groupBy("_key", "g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    own = Window.partitionBy("id")
+    # Shingles that no other text has come first; they only count.
+    first = each.join(common, ["_key", "g"]).withColumns({"_r": F.row_number().over(own.orderBy("_df", "g")), "_shared": F.count(F.lit(1)).over(own)})
+    reach = F.col("_n") - F.ceil(F.col("_n") * F.lit(threshold) - 1e-9) + 1
+    prefix = cut(first.where(F.col("_r") + F.col("_n") - F.col("_shared") <= reach).select("_key", "g", "id", "n_tokens"), "near-prefixes")
+    left, right = (prefix.select("_key", "g", F.col("id").alias(x), F.col("n_tokens").alias(f"n{x}")) for x in "ab")
+    pairs = left.join(right, ["_key", "g"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= ratio * F.greatest("na", "nb"))).select("_key", "a", "b").distinct()
+    one, two = (big.select(F.col("id").alias(x), F.col("norm").alias(f"x{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    full = pairs.join(one, "a").join(two, "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    like = both / (F.size("sa") + F.size("sb") - both)
-    sim = F.when(F.col("da") == F.col("db"), F.lit(1.0)).otherwise(F.greatest(containment(F.col("xa"), F.col("xb")), F.coalesce(like, F.lit(0.0))))
-    return close.withColumn("similarity", sim).where(F.col("similarity") >= threshold).select(*group, "a", "b", "similarity")
+    sim = F.greatest(containment(F.col("xa"), F.col("xb")), F.coalesce(both / (F.size("sa") + F.size("sb") - both), F.lit(0.0)))
+    found = full.withColumn("similarity", sim).where(F.col("similarity") >= threshold)
+    return cut(found.select(*[F.col(f"_key.{c}").alias(c) for c in group], "a", "b", "similarity"), "near-pairs"), members.drop("_key")
+
+
+def near_links(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> DataFrame:
+    """(group, a, b, similarity): the pairs of ``near_classes``, and each copy with its representative at 1.0."""
+    pairs, members = near_classes(docs, group, threshold, min_tokens, ratio)
+    return pairs.unionByName(members.where("rep <> id").select(*group, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> DataFrame:
+    """(group, a, b, similarity) of all alike documents, a < b, copies included: their number grows with the square of the copies, so
+    this is for documents of which one stands for each text (``suppress``) or small tables."""
+    pairs, members = near_classes(docs, group, threshold, min_tokens, ratio)
+    of = lambda x: members.select(F.col("rep").alias(f"_{x}"), F.col("id").alias(x))
+    spread = pairs.withColumnsRenamed({"a": "_a", "b": "_b"}).join(of("a"), "_a").join(of("b"), "_b")
+    ordered = spread.select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    twins = members.where("rep <> id").select("rep").distinct().join(members, "rep")
+    same = twins.withColumnRenamed("id", "a").join(twins.select("rep", F.col("id").alias("b")), "rep").where("a < b").select(*group, "a", "b", F.lit(1.0).alias("similarity"))
+    return ordered.unionByName(same)
 
 
 def one_per_class(docs: DataFrame, group: list[str], order: list[Column], min_tokens: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.lineage import cut
+
 ALPHA = 0.22
 
 
@@ -16,14 +18,29 @@ def stage_timings(events: DataFrame, stage: str, seconds: str) -> DataFrame:
     )
 
 
-def ewma(events: DataFrame, group: list[str], order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
-    """Exponentially weighted latency of each group in event order; the first sample seeds it.
+def ewma(events: DataFrame, group: list[str], order: list[str], value: str, alpha: float = ALPHA, block: int = 12) -> DataFrame:
+    """Exponentially weighted latency of each group in event order; the first positive sample seeds it, negative ones count as 0.
 
-    A fold needs a group's samples together; a group here is a provider or session whose samples fit a row.
+    With r rows after a sample, it weighs alpha * (1 - alpha)**r, and the seed (1 - alpha)**r: a sum, which needs no fold. Rows are dealt
+    and numbered by ranges, a group is summed in blocks of 2**``block`` numbers, and only blocks are put in order within a group.
+    (A mean that zeros have worn down below the smallest double isn't seeded anew.)
     """
-    run = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    fold = F.aggregate(run, F.lit(0.0), lambda a, x: F.when(a <= 0, F.greatest(x["_v"], F.lit(0.0))).otherwise(alpha * F.greatest(x["_v"], F.lit(0.0)) + (1 - alpha) * a))
-    return events.groupBy(*group).agg(fold.alias("ewma"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("longest"))
+    v = F.greatest(F.col(value).cast("double"), F.lit(0.0))
+    rows = events.select(*group, *[c for c in order if c not in group], v.alias("_v"), F.col(value).alias("_raw"))
+    dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    numbered = cut(dealt.withColumn("_id", F.monotonically_increasing_id()), "ewma").withColumn("_block", F.shiftright("_id", block))
+    after = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(F.desc("_id"))) - 1
+    decay = F.pow(F.lit(1 - alpha), F.col("_r"))
+    blocks = numbered.withColumn("_r", after).groupBy(*group, "_block").agg(
+        F.sum(alpha * decay * F.col("_v")).alias("_sum"), F.min_by(F.struct("_r", "_v"), F.when(F.col("_v") > 0, F.col("_id"))).alias("_seed"),
+        F.count(F.lit(1)).alias("_m"), F.sum("_raw").alias("_total"), F.count("_raw").alias("_known"), F.max("_raw").alias("_most"),
+    )
+    later = F.sum("_m").over(Window.partitionBy(*group).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m")
+    placed = blocks.withColumn("_later", later).withColumn("_fall", F.pow(F.lit(1 - alpha), F.col("_later")))
+    seed = F.min_by(F.col("_seed._v") * F.pow(F.lit(1 - alpha), F.col("_seed._r") + 1) * F.col("_fall"), F.when(F.col("_seed").isNotNull(), F.col("_block")))
+    return placed.groupBy(*group).agg(
+        (F.sum(F.col("_sum") * F.col("_fall")) + F.coalesce(seed, F.lit(0.0))).alias("ewma"), F.sum("_m").alias("n"), (F.sum("_total") / F.sum("_known")).alias("mean"), F.max("_most").alias("longest")
+    )
 
 
 def peak_active(spans: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
