@@ -219,3 +219,29 @@ def routine_triage(t, spark, sf):
     d = t("documents").select(g.alias("g"), F.col("doc_id").alias("position"), F.concat("text", planted).alias("text"), title.alias("title"))
     out = triage.triage(d, "g", ownership="(?i)nothing like this")
     return out.select("g", "mode", "reason", F.array_join("signals", ",").alias("signals"), "total_characters", "document_count")
+
+
+DELTAS = ["\nkepemilikan saham 5,10% menjadi 5.25 %", "\npemegang 7.00% dan 7,05%", "\nkepemilikan 3% saja", "", "\nlain 1% 9%", "\nDireksi 1% lalu 2,5% dan 2%", "\n" + "kepemilikan " * 120 + "1% 9%"]
+DELTAS_SQL = ", ".join("'" + d.replace("\n", "' || chr(10) || '") + "'" for d in DELTAS)
+_LINES_SQL = r"regexp_split_to_array(a, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')"
+_SQUEEZE_SQL = r"trim(regexp_replace(q, '[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id // 2 AS g, doc_id, text || ([{PLANTED_SQL}])[doc_id % 9 + 1] || ([{DELTAS_SQL}])[doc_id // 3 % 7 + 1] AS text, CASE WHEN doc_id // 2 % 4 = 0 THEN 'other' ELSE 'Laporan Bulanan Registrasi Pemegang Efek' END AS title FROM documents),
+f AS (SELECT g, max(title) AS title, coalesce(sum(length(text)), 0)::BIGINT AS total_characters, count(text) AS document_count, min(length(regexp_replace(text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))) AS least, string_agg(text, chr(10) ORDER BY doc_id) AS a FROM d GROUP BY 1),
+o AS (SELECT *, CASE WHEN title = 'other' THEN 'not-routine' WHEN document_count = 0 THEN 'no-evidence' WHEN total_characters > 70000 THEN 'large-evidence' WHEN least < 120 THEN 'sparse-evidence' END AS odd FROM f),
+l AS (SELECT g, i, list_transform(regexp_extract_all(q, '(?:^|[^0-9])([0-9]{{1,3}}(?:[.,][0-9]{{1,4}})?)\\s*%', 1), lambda v: replace(v, ',', '.')::DOUBLE) AS p
+  FROM (SELECT g, i, {_SQUEEZE_SQL} AS q FROM (SELECT g, unnest({_LINES_SQL}) AS q, generate_subscripts({_LINES_SQL}, 1) AS i FROM o WHERE odd IS NULL)) WHERE length(q) <= 1200 AND regexp_matches(q, '(?i)pemegang|kepemilikan|pengendali|direksi|direktur|komisaris|free\\s*float|treasuri')),
+w AS (SELECT g, arg_min(list_min(p), i) AS low, arg_min(list_max(p), i) AS high FROM l WHERE len(p) >= 2 AND list_max(p) - list_min(p) >= 0.1 GROUP BY 1),
+s AS (SELECT o.*, low, high, list_sort(list_filter([{RISKS_SQL}, CASE WHEN low IS NOT NULL THEN 'ownership-percentage-delta' END], lambda x: x IS NOT NULL)) AS found FROM o LEFT JOIN w ON w.g = o.g)
+SELECT g, CASE WHEN odd IS NULL AND len(found) = 0 THEN 'routine_direct' ELSE 'full' END AS mode, CASE WHEN odd IS NOT NULL THEN odd WHEN len(found) > 0 THEN 'material-change' ELSE 'clean' END AS reason,
+ CASE WHEN odd = 'not-routine' THEN '' WHEN odd IS NOT NULL THEN odd ELSE array_to_string(found, ',') END AS signals, low, high FROM s""")
+def routine_triage_delta(t, spark, sf):
+    """The ladder with its last rung, the first line about ownership whose percentages differ, over every document"""
+    pick = lambda texts, n: F.element_at(F.array(*[F.lit(x) for x in texts]), (n + 1).cast("int"))
+    g = F.floor(F.col("doc_id") / 2).cast("long")
+    title = F.when(g % 4 == 0, "other").otherwise("Laporan Bulanan Registrasi Pemegang Efek")
+    text = F.concat("text", pick(PLANTED, F.col("doc_id") % 9), pick(DELTAS, F.floor(F.col("doc_id") / 3) % 7))
+    d = t("documents").select(g.alias("g"), F.col("doc_id").alias("position"), text.alias("text"), title.alias("title"))
+    out = triage.triage(d, "g")
+    return out.select("g", "mode", "reason", F.array_join("signals", ",").alias("signals"), "detail.low", "detail.high")
