@@ -34,10 +34,12 @@ def near_classes(docs: DataFrame, group: list[str], threshold: float, min_tokens
     contains another at t, or is at Jaccard t of all its shingles, is always looked at, and then judged by that rule.
     """
     keyed = docs.where(F.col("n_tokens") >= min_tokens).withColumn("_key", F.struct(*group, "suffix"))  # in a struct, null equals null
+    # Tokens and shingles are made once; what follows reads the columns it needs.
+    keyed = cut(keyed.select("_key", *group, "doc_id", "n_tokens", "digest", "norm", "shingles", "grams"), "near-docs")
     heads = keyed.groupBy("_key", "digest").agg(F.min("doc_id").alias("rep"))
     members = cut(keyed.select("_key", "digest", F.col("doc_id").alias("id"), *group).join(heads, ["_key", "digest"]).select("_key", *group, "rep", "id"), "near-members")
     big = keyed.join(members.where("rep = id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    big = cut(big.select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles", "grams"), "near-docs")
+    big = big.select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles", "grams")
     each = big.select("_key", "id", "n_tokens", F.size("grams").alias("_n"), F.explode("grams").alias("g"))
     common = each.groupBy("_key", "g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
     own = Window.partitionBy("id")
