@@ -27,6 +27,27 @@ def ticker(x: Column) -> Column:
     return F.upper(F.trim(x))
 
 
+def lower_each(x: Column) -> Column:
+    """Lower case code point by code point, so that places in the result are places in ``x``: a dotted capital I stays one
+    character, and a capital sigma does not look at its neighbours."""
+    return F.lower(F.replace(F.replace(x, F.lit("\u03a3"), F.lit("\u03c3")), F.lit("\u0130"), F.lit("i")))
+
+
+@cache
+def _upper_alone() -> tuple[str, str]:
+    """The characters whose upper case is several, and the one that stands for each in a mapping of code points."""
+    many = [c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1]
+    return "".join(many), "".join("\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in many)
+
+
+def upper_each(x: Column) -> Column:
+    """Upper case code point by code point: a sharp s becomes a capital one, ligatures stay."""
+    many, one = _upper_alone()
+    parts = F.split(x, f"(?<=[{many}])|(?=[{many}])")
+    each = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{many}]$"), F.translate(p, many, one)).otherwise(F.upper(p))), "")
+    return F.when(x.rlike(f"[{many}]"), each).otherwise(F.upper(x))
+
+
 def normalize_text(x: Column) -> Column:
     """Drop NULs, squeeze blanks and tabs, allow three line feeds in a row at most, strip."""
     x = F.regexp_replace(F.replace(x, F.lit("\x00"), F.lit("")), "[ \t]+", " ")

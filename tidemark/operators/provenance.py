@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import claim_tokens
+from tidemark.functions.text import claim_tokens, lower_each
 from tidemark.lineage import cut
 
 
@@ -45,13 +45,13 @@ def match_sources(claims: DataFrame, sources: DataFrame, claim_id: str, source_i
 
 def locate(text: Column, evidence: Column) -> Column:
     """struct(match, line, page, sheet): exact place of the evidence, else whether its squeezed prefix occurs."""
-    low, ev = F.lower(text), F.lower(F.trim(evidence))
+    low, ev = lower_each(text), lower_each(F.trim(evidence))
     at = F.instr(low, ev)
     before = F.substring(text, F.lit(1), at - 1)
     last = lambda p: F.try_element_at(F.regexp_extract_all(before, F.lit(p), F.lit(1)), F.lit(-1))
     squeeze = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
-    prefix = F.lower(F.substring(squeeze(evidence), 1, 80))
-    close = (F.length(prefix) >= 20) & (F.instr(F.lower(squeeze(text)), prefix) > 0)
+    prefix = lower_each(F.substring(squeeze(evidence), 1, 80))
+    close = (F.length(prefix) >= 20) & (F.instr(lower_each(squeeze(text)), prefix) > 0)
     match = F.when(at > 0, "exact_text").when(close, "normalized_text").otherwise("not_located")
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     only = lambda x: F.when(at > 0, x)
