@@ -58,8 +58,8 @@ def digest_sections(t, spark, sf):
         "risks_or_uncertainties": F.col("doc_id").cast("string"), "items_to_monitor": F.lit('["# not a heading", "**bold** `code`"]'), "limitations": F.lit("null"),
     }
     summary = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in pieces.items()]), F.lit("}"))
-    lines = render.digest_lines(F.parse_json("j"), list(SECTIONS))
-    rows = d.select("doc_id", summary.alias("j")).select("doc_id", lines.alias("lines"))
+    # A column of its own, the summary is parsed once and not for each of its sections.
+    rows = d.select("doc_id", summary.alias("j")).select("doc_id", F.parse_json("j").alias("v")).select("doc_id", render.digest_lines(F.col("v"), list(SECTIONS)).alias("lines"))
     text = lambda c: F.md5(F.array_join(c, "\n").cast("binary"))
     return rows.select("doc_id", text(F.col("lines")).alias("markdown"), text(render.plain_lines(F.col("lines"))).alias("text"))
 
