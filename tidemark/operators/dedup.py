@@ -34,27 +34,46 @@ def near_classes(docs: DataFrame, group: list[str], threshold: float, min_tokens
     contains another at t, or is at Jaccard t of all its shingles, is always looked at, and then judged by that rule.
     """
     keyed = docs.where(F.col("n_tokens") >= min_tokens).withColumn("_key", F.struct(*group, "suffix"))  # in a struct, null equals null
-    # Tokens and shingles are made once; what follows reads the columns it needs.
-    keyed = cut(keyed.select("_key", *group, "doc_id", "n_tokens", "digest", "norm", "shingles", "grams"), "near-docs")
+    # Tokens and shingles are made once; what follows reads the columns it needs. All shingles stand only where a stride left some out.
+    rest = F.when(F.size("grams") > F.size("shingles"), F.col("grams")).alias("rest")
+    keyed = cut(keyed.select("_key", *group, "doc_id", "n_tokens", "digest", "norm", "shingles", rest), "near-docs")
     heads = keyed.groupBy("_key", "digest").agg(F.min("doc_id").alias("rep"))
     members = cut(keyed.select("_key", "digest", F.col("doc_id").alias("id"), *group).join(heads, ["_key", "digest"]).select("_key", *group, "rep", "id"), "near-members")
-    big = keyed.join(members.where("rep = id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    big = big.select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles", "grams")
-    each = big.select("_key", "id", "n_tokens", F.size("grams").alias("_n"), F.explode("grams").alias("g"))
-    common = each.groupBy("_key", "g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    copies = members.where("rep <> id").select(F.col("id").alias("doc_id"))
+    big = without(keyed, copies).select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles", "rest")
+    # A shingle of one group is one number; numbers that agree by chance only add candidates, and groups are compared below.
+    grams = F.coalesce("rest", "shingles")
+    each = big.select("id", "n_tokens", F.size(grams).alias("_n"), F.explode(grams).alias("g"), "_key").select("id", "n_tokens", "_n", F.xxhash64("_key", "g").alias("g"))
+    shared = each.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("_df > 1")
     own = Window.partitionBy("id")
     # Shingles that no other text has come first; they only count.
-    first = each.join(common, ["_key", "g"]).withColumns({"_r": F.row_number().over(own.orderBy("_df", "g")), "_shared": F.count(F.lit(1)).over(own)})
+    first = shared.withColumns({"_r": F.row_number().over(own.orderBy("_df", "g")), "_shared": F.count(F.lit(1)).over(own)})
     reach = F.col("_n") - F.ceil(F.col("_n") * F.lit(threshold) - 1e-9) + 1
-    prefix = cut(first.where(F.col("_r") + F.col("_n") - F.col("_shared") <= reach).select("_key", "g", "id", "n_tokens"), "near-prefixes")
-    left, right = (prefix.select("_key", "g", F.col("id").alias(x), F.col("n_tokens").alias(f"n{x}")) for x in "ab")
-    pairs = left.join(right, ["_key", "g"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= ratio * F.greatest("na", "nb"))).select("_key", "a", "b").distinct()
-    one, two = (big.select(F.col("id").alias(x), F.col("norm").alias(f"x{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    full = pairs.join(one, "a").join(two, "b")
+    prefix = cut(first.where(F.col("_r") + F.col("_n") - F.col("_shared") <= reach).select("g", "id", "n_tokens"), "near-prefixes")
+    left, right = (prefix.select("g", F.col("id").alias(x), F.col("n_tokens").alias(f"n{x}")) for x in "ab")
+    met = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= ratio * F.greatest("na", "nb"))).select("a", "b").distinct()
+    pairs = cut(met, "near-candidates")
+    # Only texts that have a candidate travel.
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = among(big.select("_key", "id", "norm", "shingles"), asked)
+    one, two = (texts.select(F.col("id").alias(x), F.col("_key").alias(f"k{x}"), F.col("norm").alias(f"x{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    full = pairs.join(one, "a").join(two, "b").where(F.col("ka").eqNullSafe(F.col("kb")))
     both = F.size(F.array_intersect("sa", "sb"))
     sim = F.greatest(containment(F.col("xa"), F.col("xb")), F.coalesce(both / (F.size("sa") + F.size("sb") - both), F.lit(0.0)))
     found = full.withColumn("similarity", sim).where(F.col("similarity") >= threshold)
-    return cut(found.select(*[F.col(f"_key.{c}").alias(c) for c in group], "a", "b", "similarity"), "near-pairs"), members.drop("_key")
+    return cut(found.select(*[F.col(f"ka.{c}").alias(c) for c in group], "a", "b", "similarity"), "near-pairs"), members.drop("_key")
+
+
+def among(rows: DataFrame, keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The ``rows`` whose key is one of ``keys`` (one column): a list of at most ``most`` goes to the rows, beyond, both are shuffled."""
+    keys = cut(keys, "near-keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, keys.columns, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The ``rows`` whose key is none of ``keys``, as ``among``."""
+    keys = cut(keys, "near-keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, keys.columns, "left_anti")
 
 
 def near_links(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> DataFrame:
@@ -63,14 +82,16 @@ def near_links(docs: DataFrame, group: list[str], threshold: float, min_tokens:
     return pairs.unionByName(members.where("rep <> id").select(*group, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> DataFrame:
+def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94, only: DataFrame | None = None) -> DataFrame:
     """(group, a, b, similarity) of all alike documents, a < b, copies included: their number grows with the square of the copies, so
-    this is for documents of which one stands for each text (``suppress``) or small tables."""
+    this is for documents of which one stands for each text (``suppress`` names them by ``only``, doc_id) or small tables."""
     pairs, members = near_classes(docs, group, threshold, min_tokens, ratio)
+    if only is not None:
+        members = members.join(only.select(F.col("doc_id").alias("id")), "id", "left_semi")
     of = lambda x: members.select(F.col("rep").alias(f"_{x}"), F.col("id").alias(x))
     spread = pairs.withColumnsRenamed({"a": "_a", "b": "_b"}).join(of("a"), "_a").join(of("b"), "_b")
     ordered = spread.select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-    twins = members.where("rep <> id").select("rep").distinct().join(members, "rep")
+    twins = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rep").join(members, "rep")
     same = twins.withColumnRenamed("id", "a").join(twins.select("rep", F.col("id").alias("b")), "rep").where("a < b").select(*group, "a", "b", F.lit(1.0).alias("similarity"))
     return ordered.unionByName(same)
 
@@ -101,9 +122,10 @@ def same_file(docs: DataFrame, group: list[str]) -> DataFrame:
 def suppress(docs: DataFrame, group: list[str], threshold: float, order: list[Column], min_tokens: int = 120) -> DataFrame:
     """doc_id, keep, duplicate_of for ``docs`` (doc_id, file_hash, suffix, fingerprints): in rank order, each is dropped that has
     the file hash of a kept one, or its suffix and at least ``threshold`` of its text. A null hash equals none."""
-    marked = cut(one_per_class(docs, group, order, min_tokens), "dedup-classes")
+    # Texts and shingles are read once, by the search for pairs; classes need none of them.
+    marked = cut(one_per_class(docs.drop("text", "tokens", "norm", "shingles", "grams"), group, order, min_tokens), "dedup-classes")
     heads = marked.where("doc_id = head")
-    pairs = near_pairs(heads, group, threshold, min_tokens).select(*group, "a", "b").unionByName(same_file(heads, group)).distinct()
+    pairs = near_pairs(docs, group, threshold, min_tokens, only=heads).select(*group, "a", "b").unionByName(same_file(heads, group)).distinct()
     state = greedy_keep(heads, pairs, group, order).select(F.col("doc_id").alias("head"), F.col("keep").alias("_keep"), F.col("duplicate_of").alias("_of"))
     is_head = F.col("doc_id") == F.col("head")
     return marked.select("doc_id", "head").join(state, "head").select(
