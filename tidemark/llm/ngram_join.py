@@ -2,8 +2,7 @@
 
 Texts alike word by word form classes. Each class has ``trees`` labels, each a string of ``deepest`` MinHash values;
 sorted, a tree's labels are a prefix trie, and two classes meet in a tree down to the length of their common prefix.
-Matching begins at the full labels. Of the pairs that meet, the similarity is read off all their values (a sample of
-``audits`` pairs), and while the forest would miss more than 1 - ``target`` of pairs like the least similar ones at the
+Matching begins at the full labels. Of all the pairs that meet, the similarity is read off all their values, and while the forest would miss more than 1 - ``target`` of pairs like the least similar ones at the
 threshold or above (it finds a pair of similarity s with 1 - (1 - s**depth)**trees), the matched prefixes are shortened by a
 value and all classes meet again. So a corpus of plain copies is matched deep, one with borderline pairs as shallow as
 it takes; where nothing meets, pairs at the threshold itself are reckoned with. A node adds
@@ -28,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -49,8 +48,8 @@ def met_at(classes: DataFrame, depth: int, trees: int, deepest: int) -> DataFram
     return nodes.join(firsts, "prefix").where("a <> first").select("a", F.col("first").alias("b")).distinct()
 
 
-def least_alike(edges: DataFrame, classes: DataFrame, threshold: float, audits: int, pairs: int) -> float:
-    """The smallest similarity at ``threshold`` or above, by their labels, of about ``audits`` of the edges."""
+def least_alike(edges: DataFrame, classes: DataFrame, threshold: float) -> float:
+    """The smallest similarity at ``threshold`` or above, by their labels, of all the edges."""
 
     def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,21 +58,19 @@ def least_alike(edges: DataFrame, classes: DataFrame, threshold: float, audits:
                 like = (one == two).mean(axis=1)
                 yield pa.record_batch([pa.array([like[like >= threshold].min(initial=1.0)])], names=["s"])
 
-    some = edges.where(F.xxhash64("a", "b", F.lit("audit")) / F.lit(2.0**64) + 0.5 < audits / max(1, pairs))
     label = lambda key, name: classes.select(F.col("a").alias(key), F.col("label").alias(name))
-    both = some.join(label("a", "one"), "a").join(label("b", "two"), "b").select("one", "two")
+    both = edges.join(label("a", "one"), "a").join(label("b", "two"), "b").select("one", "two")
     return max(threshold, both.mapInArrow(alike, "s double").agg(F.min("s")).first()[0] or threshold)
 
 
-def forest_edges(classes: DataFrame, threshold: float, trees: int, deepest: int, target: float, audits: int) -> DataFrame:
+def forest_edges(classes: DataFrame, threshold: float, trees: int, deepest: int, target: float) -> DataFrame:
     """The edges of the forest at the greatest depth that finds pairs like the least similar ones with ``target``."""
     depth = deepest
     while True:
-        seen = Observation()
-        edges = materialize(met_at(classes, depth, trees, deepest).observe(seen, F.count(F.lit(1)).alias("n")), "ngram-edges")
+        edges = materialize(met_at(classes, depth, trees, deepest), "ngram-edges")
         least = threshold
         if depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-            least = least_alike(edges, classes, threshold, audits, seen.get["n"])
+            least = least_alike(edges, classes, threshold)
         if depth == 1 or 1 - (1 - least**depth) ** trees >= target:
             return edges
         depth -= 1
@@ -169,7 +166,7 @@ def verified(keys: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list
     return links, np.array([roots.get(k, k) for k in keys.tolist()], dtype=np.int64)
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, deepest: int = 8, target: float = 0.999, audits: int = 20_000,
+def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, deepest: int = 8, target: float = 0.999,
                task_words: int = 1_500_000, task_texts: int = 3_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, mark, class_id, n_links, copies and lead.
 
@@ -183,7 +180,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: i
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("mark", "mark2")).alias("_m"), F.max("words").alias("words"), F.max("label").alias("label")
     )
     classes = materialize(own.select("a", "b", "copies", "_m.mark", "_m.mark2", "words", "label"), "ngram-classes")
-    edges = forest_edges(classes, threshold, trees, deepest, target, audits)
+    edges = forest_edges(classes, threshold, trees, deepest, target)
     worlds = components(edges)
     members = materialize(classes.drop("label", "b").join(worlds.withColumnRenamed("node", "_node"), F.col("a") == F.col("_node")).drop("_node"), "ngram-members")
     sizes = materialize(members.groupBy("root").agg(F.sum("words").alias("_w"), F.count(F.lit(1)).alias("_m")).select(
