@@ -1,4 +1,4 @@
-"""Cutting lineage with a written table in the folder that ``spark.checkpoint.dir`` names."""
+"""Cutting lineage with a written table in the folder that ``spark.checkpoint.dir`` names; batches that workers can hold."""
 
 from __future__ import annotations
 
@@ -22,3 +22,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_ROWS = 200
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session at ``BATCH_ROWS`` rows at most: a worker holds a batch of whole texts several times
+    over. The caller runs the plan later, so the setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

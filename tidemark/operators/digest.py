@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import digest
+from tidemark.lineage import bounded_batches
 
 CHUNK, FINANCIAL_CHUNK = 45_000, 22_000
 
@@ -37,6 +38,7 @@ def chunk(docs: DataFrame, text: str = "text", size: int = CHUNK) -> DataFrame:
             rows["chunk"] = [(t or "")[a:b] for t, e in zip(frame[text], ends, strict=True) for a, b in zip([0, *e], e, strict=False)]
             yield rows
 
+    bounded_batches(docs.sparkSession)
     # Short texts, by far the most, never leave the JVM.
     short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= size).select(*keep, F.lit(1).alias("chunk_index"), F.lit(1).alias("chunk_count"), F.coalesce(F.col(text), F.lit("")).alias("chunk"))
     long = docs.where(F.length(text) > size).mapInPandas(run, schema)
