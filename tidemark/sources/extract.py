@@ -9,10 +9,11 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import file_suffix, normalize_text
+from tidemark.lineage import bounded_batches
 
 # Which sheets come first, by terms in their titles or first rows.
 TAXONOMY = ["inlinexbrl", "inline xbrl", "token", "hidden", "taxonomy", "schema", "xbrl", "contexts", "units"]
@@ -53,6 +54,7 @@ def visible_text(html: str | None) -> str:
 
 def html_text(html: Column) -> Column:
     """Visible text in Arrow batches, normalised in the JVM."""
+    bounded_batches(SparkSession.active())
     visible = F.pandas_udf(lambda texts: texts.map(visible_text), "string")
     return normalize_text(visible(html))
 
