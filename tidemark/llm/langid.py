@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bounded_batches, materialize, private
-from tidemark.llm.textcore import LOWER, buffer_of, give_back, slices
+from tidemark.llm.textcore import LOWER, buffer_of, give_back, keep_nothing, slices
 
 UNKNOWN = "und"
 BLOCK_ROWS = 64
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
     sample = materialize(training_sample(docs, F.lit(True) if learn_from is None else learn_from, per_language, max(1, landmarks // 4)), "lang-sample")
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
             edges, owner = pieces(offsets, spectrum)
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
                     if middle[owner[first + j]] == first + j:
                         sets[owner[first + j]] = grams[bounds[j] : bounds[j + 1]].astype(np.int32)
             yield pa.record_batch([batch.column("lang"), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "grams"])
+        give_back()
 
     marks = sample.where("mark").select("lang", "text").mapInArrow(mark, "lang string, grams array<int>").where("grams is not null").toArrow()
     sets = [g.values.to_numpy() for g in marks["grams"]]
@@ -164,6 +166,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
     shared = sample.sparkSession.sparkContext.broadcast(space)  # ``landmarks`` sets of at most order x piece numbers
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
             edges, owner = pieces(offsets, spectrum)
@@ -173,6 +176,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, per_language: int = 4
                     text = owner[first + j]
                     out[text] += shared.value.kernel(grams[bounds[j] : bounds[j + 1]]) * (edges[first + j + 1] - edges[first + j]) / (offsets[text + 1] - offsets[text])
             yield pa.record_batch([batch.column("lang"), pa.array(list(out.astype(np.float32)), pa.list_(pa.float32()))], names=["lang", "kernel"])
+        give_back()
 
     rows = sample.select("lang", "text").mapInArrow(place, "lang string, kernel array<float>").toArrow()  # a bounded sample
     shared.destroy()
@@ -207,6 +211,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     held = "text" if "text" in keep else private(keep, "text")
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:

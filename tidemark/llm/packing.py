@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialize
-from tidemark.llm.textcore import give_back
+from tidemark.llm.textcore import give_back, keep_only
 
 
 #: Characters encoded at a time: what a worker holds besides its batch is some sixty times as many bytes.
@@ -217,9 +217,6 @@ class FastBytePairs:
         self.flat = np.zeros(0, np.uint32)
 
 
-_encoders: dict[str, FastBytePairs] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length and either ``ids`` (binary, little-endian uint32) or only their ``ids_crc32``.
 
@@ -230,9 +227,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), last])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = FastBytePairs(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = keep_only(tokenizer, lambda: FastBytePairs(tokenizer))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             lengths = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -8,6 +8,7 @@ whose powers have inverses), so no Python loop runs over words.
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,25 @@ def give_back() -> None:
         trim(0)
 
 
+#: The one large thing that this worker keeps between tasks.
+_kept: dict[str, object] = {}
+
+
+def keep_only(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by this worker until another operator keeps something or asks for the room."""
+    if name not in _kept:
+        keep_nothing()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_nothing() -> None:
+    """Drop what an operator before this one left in a worker that Spark uses again."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the result."""
     x = x ^ (x >> np.uint64(32))
