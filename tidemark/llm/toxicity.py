@@ -11,8 +11,8 @@ likelihood-ratio statistic G2 of the count split passes ``evidence``, and the pa
 logistic function of both, each by word (length-normalised) and in total. It is fitted on training documents by
 expressions counted without them, since a document's own counts would speak for its label.
 
-Workers read the expressions' table from the shared folder if it has at most ``table_rows`` rows (13 bytes each in memory);
-beyond that a text's expressions are joined with them in a shuffle and summed, with the same result. Counting and
+Workers map the expressions' tables from the shared folder if they have at most ``table_rows`` rows, so that a machine holds
+them once; beyond that a text's expressions are joined with them in a shuffle and summed, with the same result. Counting and
 scoring read whole texts.
 
 Defined cases: null and empty texts have no words and get the prior's score; labels that are null are no labels; of
@@ -23,16 +23,16 @@ the score is that class's share; equal rows get equal scores; extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as fs
-import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.lookup import Lookup, close_mapped, drop_folder, write_lookup
 from tidemark.llm.shared import bounded_batches, materialize, private
-from tidemark.llm.textcore import slices, word_hashes
+from tidemark.llm.textcore import give_back, slices, word_hashes
 
 START = np.uint64(0x51ED270B7A1C4E95)
 #: A bigram is one number: half of the hash of its second word, then half of that of its first.
@@ -78,6 +78,7 @@ def bigram_counts(labelled: DataFrame) -> DataFrame:
             k = np.bincount(which * 4 + kind, minlength=4 * len(pairs)).reshape(-1, 4)
             values = [k[:, 1] + k[:, 3], k[:, 0] + k[:, 2], k[:, 3], k[:, 2]]
             yield pa.record_batch([pa.array(pairs.view(np.int64)), *(pa.array(v.astype(np.int64)) for v in values)], names=["pair", *made])
+        give_back()
 
     rows = labelled.select("text", "toxic", "fitted").mapInArrow(count, "pair long, " + ", ".join(f"{c} long" for c in made))
     return rows.groupBy("pair").agg(*[F.sum(c).alias(c) for c in made])
@@ -90,12 +91,12 @@ def _g2(t: Column, o: Column, share: Column) -> Column:
     return 2 * (part(t, n * share) + part(o, n * (1 - share)))
 
 
-def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float = 15.0, vocabulary_rows: int = 6_000_000) -> DataFrame:
-    """kind, key and llr of every expression of ``pairs``, and whether it is ``strong`` (well attested).
+def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float = 15.0, vocabulary_rows: int = 6_000_000, table_rows: int = 24_000_000) -> Expressions:
+    """key and llr of every expression of ``pairs``, by kind, and whether it is ``strong`` (well attested).
 
     All pairs are counted; bigrams are given only where ``used``, that is where a text to be scored can have them.
     A bigram (2) that was counted speaks for its second word alone; any other is its head (3) and its second word (1)
-    together, where a head never counted says nothing and a word never counted speaks as the one row of kind 0 does.
+    together, where a head never counted says nothing and a word never counted speaks as ``unseen`` does.
     """
     pairs = pairs.withColumns({"w": F.shiftrightunsigned("pair", HEAD_BITS), "h": F.col("pair").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))})
     # How many different expressions a class has met, for the weight of its backoff.
@@ -104,7 +105,7 @@ def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float =
     words = materialize(pairs.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("cont")), "tox-words")
     total = words.agg(*sums, F.sum("cont").alias("cont"), F.count_if(F.col("t") > 0).alias("mt"), F.count_if(F.col("o") > 0).alias("mo")).first()
     if not total["t"] or not total["o"]:
-        return words.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.lit(0.0).alias("llr"), F.lit(False).alias("strong")).where(F.lit(False))
+        return Expressions(0.0, (), None)
     share = total["t"] / (total["t"] + total["o"])
     back = {c: discount * total[f"m{c}"] / total[c] for c in "to"}
     left = lambda n: F.greatest(n - discount, F.lit(0.0))
@@ -114,128 +115,103 @@ def fit_expressions(pairs: DataFrame, discount: float = 0.75, evidence: float =
     heads = heads.withColumns({
         "lt": F.when(F.col("ht") > 0, discount * F.col("mt") / F.col("ht")).otherwise(1.0),
         "lo": F.when(F.col("ho") > 0, discount * F.col("mo") / F.col("ho")).otherwise(1.0),
-        "hn": F.col("ht") + F.col("ho"), "lam": discount * F.col("cont") / (F.col("ht") + F.col("ho")),
+        "lam": discount * F.col("cont") / (F.col("ht") + F.col("ho")),
     }).drop("mt", "mo", "cont")
     heads = materialize(heads, "tox-heads")
     threes = heads.select(F.lit(3).alias("kind"), F.col("h").alias("key"), F.log(F.col("lt") / F.col("lo")).alias("llr"), F.lit(False).alias("strong"))
     # A bigram's evidence is held against what its second word alone says.
-    tail = materialize(scored.select("w", "pt", "po", ((F.col("t") + share) / (F.col("t") + F.col("o") + 1)).alias("ws")), "tox-tails")
-    vocabulary = (tail, "w", ["pt", "po", "ws"]), (heads, "h", ["ht", "ho", "lt", "lo", "hn", "lam"])
-    if words.count() + heads.count() <= vocabulary_rows:
-        joined = looked_up(pairs.where("used").select("pair", "t", "o", "w", "h"), *vocabulary)
+    tail = scored.select("w", "pt", "po", ((F.col("t") + share) / (F.col("t") + F.col("o") + 1)).alias("ws"))
+    shown = pairs.where("used").select("pair", "t", "o", "w", "h")
+    many, vocabulary = words.count() + heads.count(), ()
+    if many <= vocabulary_rows:
+        vocabulary = write_lookup(tail, "tox-tails"), write_lookup(heads.select("h", *[F.col(c).cast("double").alias(c) for c in ("ht", "ho", "lt", "lo", "lam")]), "tox-contexts")
+        joined = looked_up(shown, *vocabulary)
     else:
-        joined = pairs.where("used").join(tail, "w").join(heads, "h")
+        joined = shown.join(tail, "w").join(heads, "h")
     sure = (F.col("t") + F.col("o") >= 3) & (_g2(F.col("t"), F.col("o"), F.col("ws")) >= evidence)
-    pooled = left(F.col("t") + F.col("o")) / F.col("hn")
+    pooled = left(F.col("t") + F.col("o")) / (F.col("ht") + F.col("ho"))
     prob = {c: left(F.col(c)) / F.greatest(F.col(f"h{c}"), F.lit(1)) + F.col(f"l{c}") * (pooled + F.col("lam") * F.col(f"p{c}")) for c in "to"}
     twos = joined.select(F.lit(2).alias("kind"), F.col("pair").alias("key"), F.log(prob["t"] / prob["o"]).alias("llr"), sure.alias("strong"))
-    none = pairs.sparkSession.range(1).select(F.lit(0).alias("kind"), F.col("id").alias("key"), F.lit(float(np.log(back["t"] / back["o"]))).alias("llr"), F.lit(False).alias("strong"))
-    every = ones.unionByName(twos).unionByName(threes).unionByName(none)
-    # In order, file by file: a worker that reads the table needs no more room than the table takes.
-    ordered = every.withColumn("llr", F.col("llr").cast("float")).repartitionByRange("kind", "key").sortWithinPartitions("kind", "key")
-    return materialize(ordered, "tox-expressions")
-
-
-def read_columns(files: list[str], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of a written table's files, some rows at a time, read where the caller runs."""
-    for file in files:
-        system, path = fs.FileSystem.from_uri(file)
-        with system.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(500_000, columns=names):
-                yield tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+    unseen = float(np.float32(np.log(back["t"] / back["o"])))
+    kinds = [k.withColumn("llr", F.col("llr").cast("float")) for k in (ones, twos, threes)]
+    if many + shown.count() > table_rows:
+        made = Expressions(unseen, (), materialize(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), "tox-expressions"))
+    else:
+        one, three = (write_lookup(k.drop("kind"), "tox-expressions") for k in (kinds[0], kinds[2]))
+        if vocabulary:  # the bigrams need no more than these
+            clear(words, heads)
+        made = Expressions(unseen, (one, write_lookup(kinds[1].drop("kind"), "tox-expressions"), three), None)
+    for table in vocabulary:
+        table.drop(pairs.sparkSession)
+    return made
 
 
-def row_count(file: str) -> int:
-    system, path = fs.FileSystem.from_uri(file)
-    with system.open_input_file(path) as f:
-        return pq.ParquetFile(f).metadata.num_rows
+def clear(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            drop_folder(table.sparkSession, folder)
 
 
-def looked_up(pairs: DataFrame, *tables: tuple[DataFrame, str, list[str]]) -> DataFrame:
-    """``pairs`` with the columns of written tables (table, key, columns), every key of which is there: no shuffle."""
-    sources = [(sorted(table.inputFiles()), key, names) for table, key, names in tables]
-    added = [c for _, _, names in sources for c in names]
+def looked_up(pairs: DataFrame, *tables: Lookup) -> DataFrame:
+    """``pairs`` with the values of tables whose keys are columns of it, every key of which is there: no shuffle."""
+    added = [c for table in tables for c in table.names[1:]]
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for files, key, names in sources:
-            columns = [np.concatenate(c) for c in zip(*read_columns(files, [key, *names]), strict=True)]
-            order = np.argsort(columns[0])
-            held.append((key, [c[order] for c in columns]))
         for batch in batches:
-            values = []
-            for key, (known, *columns) in held:
-                at = np.searchsorted(known, batch.column(key).to_numpy())
-                values += [pa.array(c[at], pa.float64()) for c in columns]
+            values = [pa.array(v, pa.float64()) for table in tables for v in table.find(batch.column(table.names[0]).to_numpy())[1]]
             yield pa.record_batch([*batch.columns, *values], names=[*batch.schema.names, *added])
+        close_mapped()
 
     return pairs.mapInArrow(look, ", ".join([*(f"{c} long" for c in pairs.columns), *(f"{c} double" for c in added)]))
 
 
-class Table:
-    """Sorted keys of each kind with their log-likelihood ratios, read from the files of an expressions' table."""
-
-    def __init__(self, files: list[str]) -> None:
-        n = sum(row_count(f) for f in files)
-        kinds, keys, llr, strong = np.empty(n, np.int8), np.empty(n, np.int64), np.empty(n, np.float32), np.empty(n, bool)
-        at = 0
-        for columns in read_columns(files, ["kind", "key", "llr", "strong"]):
-            for whole, part in zip((kinds, keys, llr, strong), columns, strict=True):
-                whole[at : at + len(part)] = part
-            at += len(columns[0])
-        edges = np.searchsorted(kinds, np.arange(5))
-        self.unseen = float(llr[edges[0] : edges[1]].sum())
-        self.parts = {k: tuple(x[edges[k] : edges[k + 1]] for x in (keys, llr, strong)) for k in (1, 2, 3)}
-        if any((known[1:] < known[:-1]).any() for known, _, _ in self.parts.values()):
-            raise ValueError("the expressions' files are not in order")
-
-    def look(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which keys are known, their ratios, and which are strong."""
-        known, value, strong = self.parts[part]
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), bool)
-        keys = keys.view(np.int64)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        return hit, np.where(hit, value[at], np.float32(0.0)).astype(np.float64), hit & strong[at]
-
-    def sums(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The log-likelihood ratio of each text, and the strong expressions' part of it."""
-        if not len(words):
-            return np.zeros(len(bounds) - 1), np.zeros(len(bounds) - 1)
-        pairs, which = np.unique(pair_keys(contexts(words, bounds), words), return_inverse=True)
-        seen, one, one_strong = self.look(1, tails(pairs))
-        hit, two, two_strong = self.look(2, pairs)
-        head = self.look(3, pairs & np.uint64((1 << HEAD_BITS) - 1))[1]
-        full = np.where(hit, two, np.where(seen, one, self.unseen) + head)
-        strong = np.where(two_strong, two, np.where(one_strong, one, 0.0))
-        upto = [np.concatenate([[0.0], np.cumsum(x[which])]) for x in (full, strong)]
-        return tuple(x[bounds[1:]] - x[bounds[:-1]] for x in upto)
-
-
-#: The table that this worker has read.
-_tables: dict[str, Table] = {}
-
-
-def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], table_rows: int = 24_000_000) -> DataFrame:
+@dataclass(frozen=True)
+class Expressions:
+    """Log-likelihood ratios of words (kind 1), bigrams (2) and heads (3): tables that workers share, or one that is joined."""
+
+    unseen: float
+    tables: tuple[Lookup, ...]
+    joined: DataFrame | None
+
+    def drop(self, spark: SparkSession) -> None:
+        for table in self.tables:
+            table.drop(spark)
+
+
+def sums(unseen: float, tables: tuple[Lookup, ...], words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihood ratio of each text, and the strong expressions' part of it."""
+    if not len(words) or not tables:
+        return np.zeros(len(bounds) - 1), np.zeros(len(bounds) - 1)
+    pairs, which = np.unique(pair_keys(contexts(words, bounds), words).view(np.int64), return_inverse=True)
+    plain = pairs.view(np.uint64)
+    seen, (one, one_strong) = tables[0].find(tails(plain).view(np.int64))
+    hit, (two, two_strong) = tables[1].find(pairs)
+    head = tables[2].find((plain & np.uint64((1 << HEAD_BITS) - 1)).view(np.int64))[1][0]
+    one, two, head = (x.astype(np.float64) for x in (one, two, head))
+    full = np.where(hit, two, np.where(seen, one, unseen) + head)
+    strong = np.where(two_strong, two, np.where(one_strong, one, 0.0))
+    upto = [np.concatenate([[0.0], np.cumsum(x[which])]) for x in (full, strong)]
+    return tuple(x[bounds[1:]] - x[bounds[:-1]] for x in upto)
+
+
+def totals(docs: DataFrame, expressions: Expressions, keep: list[str]) -> DataFrame:
     """``keep`` of every row of ``docs`` with ``llr`` (summed over its words), ``strong`` (part of it) and ``n`` (its words)."""
     spark = docs.sparkSession
     schema = docs.select(*keep).withColumns({"llr": F.lit(0.0), "strong": F.lit(0.0), "n": F.lit(0).cast("long")}).schema
     text, row = private(keep, "_text"), private(keep, "_row")
     source = docs.select(*keep, F.col("text").alias(text))
     bounded_batches(spark)
-    if expressions.count() <= table_rows:
-        files = sorted(expressions.inputFiles())
+    if expressions.joined is None:
+        unseen, tables = expressions.unseen, expressions.tables
 
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if files and files[0] not in _tables:
-                _tables.clear()
-                _tables[files[0]] = Table(files)
-            table = _tables[files[0]] if files else Table([])
             for batch in parts_of(batches, text):
                 words, bounds = word_hashes(batch.column(text))
-                values = [*map(pa.array, table.sums(words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
+                values = [*map(pa.array, sums(unseen, tables, words, bounds)), pa.array(np.diff(bounds).astype(np.int64))]
                 yield pa.record_batch([*(batch.column(c) for c in keep), *values], names=[*keep, "llr", "strong", "n"])
+            close_mapped()
+            give_back()
 
         return source.mapInArrow(score, schema)
     rows = materialize(source.withColumn(row, F.monotonically_increasing_id()), "tox-rows")
@@ -248,11 +224,10 @@ def totals(docs: DataFrame, expressions: DataFrame, keep: list[str], table_rows:
             yield pa.record_batch([pa.array(which), pa.array(pair.view(np.int64))], names=["_row", "pair"])
 
     said = rows.select(row, text).mapInArrow(spread, "_row long, pair long").groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("k"))
-    table = lambda kind, key, name: expressions.where(F.col("kind") == kind).select(
+    table = lambda kind, key, name: expressions.joined.where(F.col("kind") == kind).select(
         F.col("key").alias(key), F.col("llr").cast("double").alias(name), F.col("strong").alias(name + "_strong")
     )
-    none = expressions.where("kind = 0").first()
-    apart = F.coalesce("_one", F.lit(none["llr"] if none else 0.0)) + F.coalesce("_head", F.lit(0.0))
+    apart = F.coalesce("_one", F.lit(expressions.unseen)) + F.coalesce("_head", F.lit(0.0))
     strong = F.when(F.col("_two_strong"), F.col("_two")).when(F.col("_one_strong"), F.col("_one")).otherwise(0.0)
     said = said.withColumns({"w": F.shiftrightunsigned("pair", HEAD_BITS), "h": F.col("pair").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))})
     summed = (
@@ -296,12 +271,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
     labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(side, "doc_id")
     # The rows of the logistic step are at most about a fifth, so that the others' counts can stand for them.
     near = (F.xxhash64(F.lit("fit"), F.col("doc_id")) / F.lit(2.0**64)) + 0.5 < min(0.2, fit_rows / max(1, size))
-    pairs = materialize(bigram_counts(labelled.withColumn("fitted", near)), "tox-pairs")
-    expressions = fit_expressions(pairs.select("pair", "t", "o", F.lit(True).alias("used")), vocabulary_rows=vocabulary_rows)
-    others = pairs.select("pair", (F.col("t") - F.col("ft")).alias("t"), (F.col("o") - F.col("fo")).alias("o"), (F.col("ft") + F.col("fo") > 0).alias("used")).where("t + o > 0")
-    sample = totals(labelled.where(near), fit_expressions(others, vocabulary_rows=vocabulary_rows), ["doc_id", "toxic"], table_rows).toArrow().to_pandas()
+    # Sorted, since neighbours then share their first bytes, in the file as in the shuffles that read it.
+    pairs = materialize(bigram_counts(labelled.withColumn("fitted", near)).sortWithinPartitions("pair"), "tox-pairs")
+    bounds = {"vocabulary_rows": vocabulary_rows, "table_rows": table_rows}
+    rest = pairs.select("pair", (F.col("t") - F.col("ft")).alias("t"), (F.col("o") - F.col("fo")).alias("o"), (F.col("ft") + F.col("fo") > 0).alias("used")).where("t + o > 0")
+    others = fit_expressions(rest, **bounds)
+    sample = totals(labelled.where(near), others, ["doc_id", "toxic"]).toArrow().to_pandas()
+    others.drop(docs.sparkSession)
+    expressions = fit_expressions(pairs.select("pair", "t", "o", F.lit(True).alias("used")), **bounds)
     if not sample["llr"].any() or len(set(sample["toxic"] > 0)) < 2:  # the others, or too few rows, tell the classes apart nowhere
-        sample = totals(labelled.where(near) if size > fit_rows else labelled, expressions, ["doc_id", "toxic"], table_rows).toArrow().to_pandas()
+        sample = totals(labelled.where(near) if size > fit_rows else labelled, expressions, ["doc_id", "toxic"]).toArrow().to_pandas()
     y = (sample["toxic"].to_numpy(dtype=float) > 0).astype(float)
     order = np.lexsort((sample["strong"], sample["llr"], sample["n"], sample["doc_id"]))
     if len(y) and 0 < y.mean() < 1:
@@ -312,4 +291,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
     n1, strong = F.greatest(F.col("n"), F.lit(1)), F.col("strong")
     parts = [f for x in (strong, F.col("llr") - strong) for f in (10 * x / n1, x / F.sqrt(n1), F.tanh(x / 8.0))]
     logit = sum((float(b) * f for b, f in zip(beta[1:], parts)), F.lit(float(beta[0])))
-    return totals(docs, expressions, keep, table_rows).withColumn("score", 1 / (1 + F.exp(-logit))).drop("strong")
+    return totals(docs, expressions, keep).withColumn("score", 1 / (1 + F.exp(-logit))).drop("strong")
