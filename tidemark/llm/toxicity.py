@@ -272,7 +272,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, keep:
     # The rows of the logistic step are at most about a fifth, so that the others' counts can stand for them.
     near = (F.xxhash64(F.lit("fit"), F.col("doc_id")) / F.lit(2.0**64)) + 0.5 < min(0.2, fit_rows / max(1, size))
     # Sorted, since neighbours then share their first bytes, in the file as in the shuffles that read it.
-    pairs = materialize(bigram_counts(labelled.withColumn("fitted", near)).sortWithinPartitions("pair"), "tox-pairs")
+    pairs = materialize(bigram_counts(labelled.withColumn("fitted", near)).sortWithinPartitions("pair"), "tox-pairs", codec="zstd")
     bounds = {"vocabulary_rows": vocabulary_rows, "table_rows": table_rows}
     rest = pairs.select("pair", (F.col("t") - F.col("ft")).alias("t"), (F.col("o") - F.col("fo")).alias("o"), (F.col("ft") + F.col("fo") > 0).alias("used")).where("t + o > 0")
     others = fit_expressions(rest, **bounds)
