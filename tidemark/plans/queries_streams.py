@@ -20,20 +20,22 @@ def _room(spark, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _pieces(events: DataFrame, path: str) -> None:
-    """``events`` as files that come one after the other: by days, a third of the rows one piece late."""
+def _pieces(events: DataFrame, path: str) -> int:
+    """``events`` as files that come one after the other: by days, a third of the rows one piece late. As many tasks write a piece as
+    read the table; how many files a piece has is returned, so that a batch can take a piece whatever its size."""
     piece = F.pmod(F.floor(F.dayofyear("ts") / 8) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0), F.lit(PIECES))
     marked = events.withColumn("_piece", piece.cast("int"))
     for k in range(PIECES):
-        marked.where(F.col("_piece") == k).drop("_piece").coalesce(1).write.mode("append").parquet(path)
+        marked.where(F.col("_piece") == k).drop("_piece").write.mode("append").parquet(path)
+    return max(1, -(-len(events.sparkSession.read.schema(events.schema).parquet(path).inputFiles()) // PIECES))
 
 
 @query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1""")
 def stream_latest(t, spark, sf):
     """The progressive latest row of each key, batches out of order"""
     room = _room(spark, "latest")
-    _pieces(t("events"), f"{room}/in")
-    rows = streams.read_stream(spark, f"{room}/in", t("events"), files=1)
+    files = _pieces(t("events"), f"{room}/in")
+    rows = streams.read_stream(spark, f"{room}/in", t("events"), files=files)
     rows = rows.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type", "value")
     store = VersionedStore(spark, f"{room}/store", ["user_id"])
     stateful.upsert_stream(stateful.latest_stream(rows, "user_id", ["at", "event_id"]), store, f"{room}/log", [F.desc("at"), F.desc("event_id")], mode="update")
@@ -51,11 +53,11 @@ def stream_outages(t, spark, sf):
     """Outages and failure streaks as state; late rows are put in order across batches. The stream is stopped and taken up again
     by a second run over its checkpoint, which also brings a row that moves the watermark past all others."""
     room, events = _room(spark, "outages"), t("events")
-    _pieces(events, f"{room}/in")
+    files = _pieces(events, f"{room}/in")
     store = VersionedStore(spark, f"{room}/store", ["user_id"])
 
     def run() -> None:
-        rows = streams.read_stream(spark, f"{room}/in", events, files=1)
+        rows = streams.read_stream(spark, f"{room}/in", events, files=files)
         folded = stateful.outage_stream(rows, "user_id", "ts", "event_id", "event_type", ["error"], ["purchase", "view"], late="40 days")
         stateful.upsert_stream(folded, store, f"{room}/log", [F.desc("seen")], mode="update")
 
@@ -93,11 +95,11 @@ def stream_run_log(t, spark, sf):
 def stream_replay(t, spark, sf):
     """L4, B1: a keyed upsert a batch; after the first run every batch is sent again, as after a lost commit, and changes nothing"""
     room, events = _room(spark, "replay"), t("events")
-    _pieces(events, f"{room}/in")
+    files = _pieces(events, f"{room}/in")
     store = VersionedStore(spark, f"{room}/store", ["user_id"])
 
     def drain(log: str) -> None:
-        rows = streams.read_stream(spark, f"{room}/in", events, files=1).select("user_id", "ts", "event_id", "event_type", F.lit(1).cast("long").alias("n"))
+        rows = streams.read_stream(spark, f"{room}/in", events, files=files).select("user_id", "ts", "event_id", "event_type", F.lit(1).cast("long").alias("n"))
 
         def write(batch: DataFrame, number: int) -> None:
             known = store.read()

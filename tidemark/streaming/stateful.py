@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ class Latest(StatefulProcessor):
         place = [self.schema.names.index(c) for c in self.order]
         best = held
         for frame in rows:
-            top = tuple(frame.sort_values(self.order).iloc[-1][self.schema.names])
+            at = int(np.lexsort([frame[c].to_numpy() for c in reversed(self.order)])[-1]) if len(frame) > 1 else 0
+            top = tuple(frame[c].iat[at] for c in self.schema.names)
             if best is None or tuple(top[p] for p in place) > tuple(best[p] for p in place):
                 best = top
         if best is not held:
