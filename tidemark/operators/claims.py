@@ -32,31 +32,38 @@ def _sorted_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True))
 
 
-def variant_claim(v: Column) -> Column:
-    """The text of a claim: a string itself; of an object its analysis, else metric, value and period, else the object as JSON with
-    sorted keys; of anything else its value. Only objects that come to the last resort are sent to Python."""
-    kind = F.schema_of_variant(v)
+def with_claims(rows: DataFrame) -> DataFrame:
+    """``rows`` (value, ...) with ``claim``, the text of a claim: a string itself; of an object its analysis, else metric, value and period,
+    else the object as JSON with sorted keys; of anything else its value. Only objects that come to the last resort are sent to Python."""
+    v, kind = F.col("value"), F.col("_kind")
     is_object = kind.startswith("OBJECT")
     # Absent, null, empty, zero and false values say nothing.
     said = lambda path: F.when(~F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")).isin("", "0", "false", "[]", "{}"), F.try_variant_get(v, path, "string"))
     trim = lambda c: F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
     figure = F.when(F.coalesce(said("$.metric"), said("$.value")).isNotNull(), F.concat_ws(" — ", said("$.metric"), said("$.value"), said("$.period")))
-    named = F.coalesce(trim(said("$.analysis")), figure)
+    named = F.when(is_object, F.coalesce(trim(said("$.analysis")), figure))
     other = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.to_json(v))).when(kind == "STRING", trim(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v))
-    return F.when(is_object, F.coalesce(named, _sorted_json(F.when(is_object & named.isNull(), F.to_json(v))))).otherwise(other)
+    # Each step reads the one before as a column, so that nothing is taken out of the value twice.
+    steps = rows.withColumn("_kind", F.schema_of_variant(v)).withColumn("_named", named)
+    last = _sorted_json(F.when(is_object & F.col("_named").isNull(), F.to_json(v)))
+    return steps.withColumn("claim", F.when(is_object, F.coalesce("_named", last)).otherwise(other)).drop("_kind", "_named")
 
 
-def claim_rows(summaries: DataFrame, company: str, summary: str) -> DataFrame:
-    """company, field, category, place, claim and classification of every claim of ``summary`` (JSON text) of each company. Fields that hold
-    no list, and summaries that are no object, have none; a claim without text is none."""
+def claims_as_told(summaries: DataFrame, company: str, summary: str) -> DataFrame:
+    """``claim_rows`` with the claims that have no text."""
     parsed = summaries.select(F.col(company).alias("company"), F.try_parse_json(summary).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
     rows = summaries.sparkSession.sql(
         "SELECT s.company, f.key AS field, e.pos AS place, e.value FROM {s} s, LATERAL variant_explode(s.v) f, LATERAL variant_explode(f.value) e WHERE e.key IS NULL", s=parsed
     )
     category = F.element_at(F.create_map(*[F.lit(x) for pair in CLAIM_FIELDS.items() for x in pair]), F.col("field"))
-    named = rows.where(F.col("field").isin(*CLAIM_FIELDS)).select("company", "field", category.alias("category"), "place", variant_claim(F.col("value")).alias("claim"),
-                                                                F.coalesce(F.nullif(F.try_variant_get("value", "$.classification", "string"), F.lit("")), F.lit("explicit_fact")).alias("classification"))
-    return named.where("claim <> ''")
+    return with_claims(rows.where(F.col("field").isin(*CLAIM_FIELDS))).select("company", "field", category.alias("category"), "place", "claim",
+                                                                              F.coalesce(F.nullif(F.try_variant_get("value", "$.classification", "string"), F.lit("")), F.lit("explicit_fact")).alias("classification"))
+
+
+def claim_rows(summaries: DataFrame, company: str, summary: str) -> DataFrame:
+    """company, field, category, place, claim and classification of every claim of ``summary`` (JSON text) of each company. Fields that hold
+    no list, and summaries that are no object, have none; a claim without text is none."""
+    return claims_as_told(summaries, company, summary).where("claim <> ''")
 
 
 def claim_references(summaries: DataFrame, company: str, summary: str) -> DataFrame:
@@ -78,7 +85,8 @@ def trace_claims(summaries: DataFrame, announcements: DataFrame, company: str, s
     else the one or two whose tokens fit best.
     """
     keys = ["company", "field", "place"]
-    claims = cut(claim_rows(summaries, company, summary), "claims")
+    # Filtered when read: a filter below the table would make each claim twice.
+    claims = cut(claims_as_told(summaries, company, summary), "claims").where("claim <> ''")
     refs = claim_references(summaries, company, summary)
     known = announcements.select("company", F.col("id2").cast("string").alias("id2"))
     sizes = known.groupBy("company").agg(F.count(F.lit(1)).alias("_all"), F.min("id2").alias("_only"))

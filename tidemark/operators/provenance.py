@@ -15,15 +15,17 @@ def clean_sources(ids: Column, known: Column) -> Column:
     return F.when((F.size(kept) == 0) & (F.size(known) == 1), known).otherwise(kept)
 
 
-def match_sources(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float = 0.20, slack: float = 0.08, group: list[str] | None = None) -> DataFrame:
-    """Best sources of each claim by shared tokens: the best at ``least`` or more, and the second if within ``slack`` of it; inside
-    ``group``, if one is given.
+#: Pairs of a claim and a source that a group may have at most to be compared outright.
+DIRECT_PAIRS = 256
+
+
+def shared_by_index(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float, group: list[str]) -> DataFrame:
+    """Score of the pairs that can reach ``least``, by an inverted index.
 
     A claim of n tokens reaches ``least`` only with ceil(least * n) of them, so one is among its n - ceil(least * n) + 1 rarest: those
     alone form pairs, by an inverted index of the tokens that claims have. A claim's commonest tokens are only counted for
     pairs that stand, by source and token, which no token makes hot.
     """
-    group = group or []
     own = claims.select(*group, claim_id, claim_tokens(F.col("text")).alias("_t"))
     said = cut(own.select(*group, claim_id, F.size("_t").alias("_n"), F.explode("_t").alias("tok")), "claim-tokens")
     index = sources.select(*group, source_id, F.explode(claim_tokens(F.col("text"))).alias("tok"))
@@ -35,7 +37,35 @@ def match_sources(claims: DataFrame, sources: DataFrame, claim_id: str, source_i
     met = cut(met, "claim-pairs")
     more = met.select(*group, claim_id, source_id).join(placed.where("not _lead").select(*group, claim_id, "tok"), [*group, claim_id]).join(index, [*group, source_id, "tok"], "left_semi")
     counted = met.join(more.groupBy(*group, claim_id, source_id).agg(F.count(F.lit(1)).alias("_m")), [*group, claim_id, source_id], "left")
-    score = counted.select(*group, claim_id, source_id, ((F.col("_c") + F.coalesce("_m", F.lit(0))) / F.col("_n")).alias("score"))
+    return counted.select(*group, claim_id, source_id, ((F.col("_c") + F.coalesce("_m", F.lit(0))) / F.col("_n")).alias("score"))
+
+
+def shared_in_groups(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, group: list[str]) -> DataFrame:
+    """Score of all pairs of groups that have few: one shuffle by group brings whole lists of tokens together."""
+    said = claims.select(*group, claim_id, claim_tokens(F.col("text")).alias("_t"))
+    pairs = said.join(sources.select(*group, source_id, claim_tokens(F.col("text")).alias("_s")), group)
+    pairs = pairs.select(*group, claim_id, source_id, F.size(F.array_intersect("_t", "_s")).alias("_c"), F.size("_t").alias("_n"))
+    counted = pairs.groupBy(*group, claim_id, source_id).agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n"))
+    return counted.select(*group, claim_id, source_id, F.try_divide("_c", "_n").alias("score"))
+
+
+def match_sources(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float = 0.20, slack: float = 0.08, group: list[str] | None = None) -> DataFrame:
+    """Best sources of each claim by shared tokens: the best at ``least`` or more, and the second if within ``slack`` of it; inside
+    ``group``, if one is given.
+
+    Groups of at most ``DIRECT_PAIRS`` pairs compare all of them; larger ones, and all without a group, go by an inverted index.
+    """
+    group = group or []
+    if group:
+        sizes = claims.groupBy(*group).agg(F.count(F.lit(1)).alias("_a")).join(sources.groupBy(*group).agg(F.count(F.lit(1)).alias("_b")), group)
+        sizes = cut(sizes.select(*group, (F.col("_a") * F.col("_b") <= DIRECT_PAIRS).alias("_few")), "claim-groups")
+        large = sizes.where("not _few").select(*group)
+        score = shared_in_groups(claims.join(sizes.where("_few").select(*group), group, "left_semi"), sources, claim_id, source_id, group)
+        if not large.isEmpty():
+            some = [t.join(large, group, "left_semi") for t in (claims, sources)]
+            score = score.unionByName(shared_by_index(*some, claim_id, source_id, least, group))
+    else:
+        score = shared_by_index(claims, sources, claim_id, source_id, least, group)
     order = Window.partitionBy(*group, claim_id).orderBy(F.desc("score"), F.desc(source_id))
     best = F.first("score").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = score.withColumns({"rank": F.row_number().over(order), "_best": best})
