@@ -39,3 +39,24 @@ def test_a_claim_is_made_once(spark, monkeypatch):
     got = claims.trace_claims(df, spark.createDataFrame([(1, 5, "x")], "company int, id2 int, text string"), "company", "s")
     assert sorted(r.claim for r in got.select("claim").collect()) == ["a", '{"b": 2, "z": 1}']
     assert told[0]._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_attachments_are_ordered_by_no_window(spark):
+    from tidemark.operators import selection
+
+    t = "Financial Statement"
+    rows = [("a", t, "financial statement b.pdf", True, 2), ("a", t, "financial statement a.pdf", False, 1), ("a", t, "x.xlsx", True, 3),
+            ("b", t, "financial statement.pdf", True, 1), ("b", t, "financial statement.pdf", True, 1), ("b", t, "financial statement.pdf", True, None),
+            ("c", t, "laporan keuangan.pdf", False, 1), ("c", t, "financial statement.pdf", False, 0), ("d", t, "other.pdf", False, 1)]
+    df = spark.createDataFrame(rows, "g string, title string, filename string, is_attachment boolean, position int")
+    out = selection.classify(df, ["g"])
+    got = sorted((r.g, r.filename, r.position if r.position is not None else -1, r.category.removeprefix("financial_statement")) for r in out.collect())
+    assert got == [
+        ("a", "financial statement a.pdf", 1, ""), ("a", "financial statement b.pdf", 2, "_duplicate"), ("a", "x.xlsx", 3, ""),
+        ("b", "financial statement.pdf", -1, ""), ("b", "financial statement.pdf", 1, "_duplicate"), ("b", "financial statement.pdf", 1, "_duplicate"),
+        ("c", "financial statement.pdf", 0, "_duplicate"), ("c", "laporan keuangan.pdf", 1, ""), ("d", "other.pdf", 1, ""),
+    ]
+    twice = selection.classify(df.where("g = 'b' and position = 1"), ["g"])
+    assert sorted(r.category for r in twice.collect()) == ["financial_statement", "financial_statement_duplicate"]
+    plan = selection.classify(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 1

@@ -61,15 +61,18 @@ def classify(attachments: DataFrame, group: list[str], title: str = "title", nam
         .when(pdf & any_of(norm, GENERIC_PDF), "generic")
         .otherwise("supporting")
     )
-    rows = attachments.withColumns({"_first": first, "_smart": smart, "_opaque": smart & pdf & ~admin & ~F.col(main).cast("boolean")})
-    whole = Window.partitionBy(*group)
+    # Of equal rows one is chosen, so each has a number of its own.
+    rows = attachments.withColumns({"_first": first, "_smart": smart, "_opaque": smart & pdf & ~admin & ~F.col(main).cast("boolean"), "_row": F.monotonically_increasing_id()})
+    # Windows of whole groups need no order: a group's first generic row is its least one, and rows are sorted by group once at most.
+    whole, generic = Window.partitionBy(*group), F.col("_first") == "generic"
+    place = F.struct(F.col(main).cast("int").alias("main"), F.col(position).alias("position"), F.col(name).alias("name"), "_row")
     rows = rows.withColumns({
         "_primary": F.sum((F.col("_first") == "primary").cast("int")).over(whole),
-        "_generic": F.sum((F.col("_first") == "generic").cast("int")).over(whole),
+        "_generic": F.sum(generic.cast("int")).over(whole),
         "_mains": F.sum(F.col("_opaque").cast("int")).over(whole),
-        "_rank": F.row_number().over(Window.partitionBy(*group, "_first").orderBy(F.col(main).cast("int"), position, name)),
+        "_least": F.min(F.when(generic, place)).over(whole)["_row"],
     })
-    chosen = (F.col("_first") == "generic") & (F.col("_primary") == 0) & (F.col("_rank") == 1)
+    chosen = generic & (F.col("_primary") == 0) & (F.col("_row") == F.col("_least"))
     alone = F.col("_opaque") & (F.col("_primary") == 0) & (F.col("_generic") == 0) & (F.col("_mains") == 1)
     category = (
         F.when(F.col("_first").isin("sheet", "primary") | chosen | alone, "financial_statement")
@@ -78,5 +81,5 @@ def classify(attachments: DataFrame, group: list[str], title: str = "title", nam
     )
     rows = rows.withColumn("category", category)
     return rows.withColumn("selected", F.col("category").isin("financial_statement", "general_source")).drop(
-        "_first", "_smart", "_opaque", "_primary", "_generic", "_mains", "_rank"
+        "_first", "_smart", "_opaque", "_primary", "_generic", "_mains", "_row", "_least"
     )
