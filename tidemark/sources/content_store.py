@@ -9,6 +9,8 @@ from tidemark.functions.text import safe_filename
 from tidemark.lineage import cut
 
 STORED = "sha256 string, length long, content binary, prefix string"
+#: Bytes that one task writes of a prefix, about.
+PART_BYTES = 128 << 20
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -35,16 +37,23 @@ class ContentStore:
         """Store the contents of ``files`` (name, sha256, length, content) that are new; name, sha256, length, path and cache_status
         (``written`` or ``already-exists``) of each file.
 
-        Keys alone decide what is new; contents are read again by the one task that writes them, and of several files with
-        one content the first by name is written. A row that two writers add at once stands twice with equal bytes.
+        Files are read once for their keys, which alone decide what is new; where something is, contents are read again by the tasks
+        that write them, and of several files with one content the first by name is written. A prefix is one task's work, or
+        that of several if it is large, so there are few parts to list. A row that two writers add at once stands twice with equal bytes.
         """
-        keys = files.select("name", "sha256", "length")
+        # Shuffled, keys come in few parts; a scan of small files has very many tasks.
+        keys = cut(files.select("name", "sha256", "length").repartition("sha256", "name"), "content-files")
         known = self.read().select("sha256").distinct().withColumn("_known", F.lit(True))
         first = keys.groupBy("sha256").agg(F.min("name").alias("_first")).join(known, "sha256", "left")
         told = cut(keys.join(first, "sha256"), "content-keys")
-        fresh = told.where("_known is null and name = _first").groupBy("sha256", "name").agg(F.first("length").alias("_n")).select("sha256", "name")
-        rows = files.join(fresh, ["sha256", "name"], "left_semi").dropDuplicates(["sha256"])
-        rows.select("sha256", "length", "content", F.substring("sha256", 1, 2).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(self.path)
+        fresh = told.where("_known is null and name = _first").select("sha256", "name", "length").dropDuplicates(["sha256", "name"])
+        size = fresh.agg(F.sum("length")).first()[0]
+        if size is not None:
+            slots = 1 + int(size) // (256 * PART_BYTES)
+            slot = F.pmod(F.xxhash64("sha256"), F.lit(slots)).alias("_slot")
+            rows = files.join(fresh.select("sha256", "name"), ["sha256", "name"], "left_semi").select("*", F.substring("sha256", 1, 2).alias("prefix"), slot)
+            rows = rows.repartition("prefix", "_slot").dropDuplicates(["prefix", "_slot", "sha256"])
+            rows.select("sha256", "length", "content", "prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
         status = F.when(F.col("_known").isNull() & (F.col("name") == F.col("_first")), "written").otherwise("already-exists")
         path = F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.substring("sha256", 1, 12), F.lit("_"), safe_filename(F.col("name")))
         return told.select("name", "sha256", "length", path.alias("path"), status.alias("cache_status"))
