@@ -60,3 +60,19 @@ def test_attachments_are_ordered_by_no_window(spark):
     assert sorted(r.category for r in twice.collect()) == ["financial_statement", "financial_statement_duplicate"]
     plan = selection.classify(df, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Window [") == 1
+
+
+def test_few_claims_go_to_the_sources_and_no_tokens_are_written(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k:02d}" for k in range(40)]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice((8, 40))]) for _ in range(n))
+    a = spark.createDataFrame([(f"c{k}", text(rng.randint(0, 12))) for k in range(50)] + [("n", None)], "c string, text string")
+    b = spark.createDataFrame([(k, text(rng.randint(0, 20))) for k in range(300)] + [(900, None)], "s long, text string").repartition(5)
+    written = []
+    monkeypatch.setattr(provenance, "cut", lambda df, tag, real=provenance.cut: written.append(tag) or real(df, tag))
+    told = lambda: sorted((r.c, r.s, r.score, r["rank"]) for r in provenance.match_sources(a, b, "c", "s").collect())
+    few = told()
+    assert len(few) > 50 and not {"source-tokens", "claim-pairs"} & set(written)
+    monkeypatch.setattr(provenance, "FEW_TOKENS", 0)
+    assert told() == few and "source-tokens" in written
+    assert provenance.match_sources(a.where("c = 'n'"), b, "c", "s").count() == 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import claim_tokens, lower_each
-from tidemark.lineage import cut
+from tidemark.lineage import bounded_batches, cut
 
 
 def clean_sources(ids: Column, known: Column) -> Column:
@@ -17,6 +21,8 @@ def clean_sources(ids: Column, known: Column) -> Column:
 
 #: Pairs of a claim and a source that a group may have at most to be compared outright.
 DIRECT_PAIRS = 256
+#: Tokens of all claims that are broadcast at most.
+FEW_TOKENS = 20_000
 
 
 def shared_by_index(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float, group: list[str]) -> DataFrame:
@@ -24,10 +30,12 @@ def shared_by_index(claims: DataFrame, sources: DataFrame, claim_id: str, source
 
     A claim of n tokens reaches ``least`` only with ceil(least * n) of them, so one is among its n - ceil(least * n) + 1 rarest: those
     alone form pairs, by an inverted index of the tokens that claims have. A claim's commonest tokens are only counted for
-    pairs that stand, by source and token, which no token makes hot.
+    pairs that stand, by source and token, which no token makes hot. Claims of few tokens go to the sources instead.
     """
     own = claims.select(*group, claim_id, claim_tokens(F.col("text")).alias("_t"))
     said = cut(own.select(*group, claim_id, F.size("_t").alias("_n"), F.explode("_t").alias("tok")), "claim-tokens")
+    if not group and said.count() <= FEW_TOKENS:
+        return shared_with_few(said, sources, claim_id, source_id, least)
     index = sources.select(*group, source_id, F.explode(claim_tokens(F.col("text"))).alias("tok"))
     index = cut(index.join(said.select(*group, "tok").distinct(), [*group, "tok"], "left_semi"), "source-tokens")
     rarity = index.groupBy(*group, "tok").agg(F.count(F.lit(1)).alias("_df"))
@@ -40,6 +48,42 @@ def shared_by_index(claims: DataFrame, sources: DataFrame, claim_id: str, source
     return counted.select(*group, claim_id, source_id, ((F.col("_c") + F.coalesce("_m", F.lit(0))) / F.col("_n")).alias("score"))
 
 
+def shared_with_few(said: DataFrame, sources: DataFrame, claim_id: str, source_id: str, least: float) -> DataFrame:
+    """Score of the pairs that reach ``least``, of claims (claim_id, _n, tok) that are broadcast: each source meets all of them where it is
+    read, so neither tokens nor pairs are shuffled. Of a claim's pairs a task leaves out those below its two best so far,
+    which can be neither best nor second."""
+    spark = sources.sparkSession
+    bounded_batches(spark)
+    own = cut(said.groupBy(claim_id).agg(F.collect_list("tok").alias("_t"), F.max("_n").alias("_n")).withColumn("_k", F.monotonically_increasing_id()), "few-claims")
+    rows = own.select("_k", "_t", "_n").collect()  # ``FEW_TOKENS`` tokens at most
+    postings: dict[str, list[int]] = {}
+    for at, row in enumerate(rows):
+        for token in row["_t"]:
+            postings.setdefault(token, []).append(at)
+    index = {token: np.array(claims) for token, claims in postings.items()}
+    shared = spark.sparkContext.broadcast((index, np.array([r["_n"] for r in rows], float), np.array([r["_k"] for r in rows], np.int64)))
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, sizes, keys = shared.value
+        best = np.zeros((2, len(sizes)))
+        for batch in batches:
+            out = []
+            for at, tokens in enumerate(batch.column("_t").to_pylist()):
+                hits = [index[t] for t in tokens or () if t in index]
+                if hits:
+                    scores = np.bincount(np.concatenate(hits), minlength=len(sizes)) / sizes
+                    found = np.flatnonzero(scores >= np.maximum(best[1], least))
+                    best = np.sort(np.vstack([best, scores]), axis=0)[:0:-1]
+                    out.append((np.full(len(found), at), keys[found], scores[found]))
+            if out:
+                at, claims, scores = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.record_batch([pa.array(claims), batch.column("_s").take(pa.array(at)), pa.array(scores)], names=["_k", "_s", "score"])
+
+    kind = sources.schema[source_id].dataType.simpleString()
+    found = sources.select(F.col(source_id).alias("_s"), claim_tokens(F.col("text")).alias("_t")).mapInArrow(score, f"_k long, _s {kind}, score double")
+    return found.join(F.broadcast(own.select(claim_id, "_k")), "_k").select(claim_id, F.col("_s").alias(source_id), "score")
+
+
 def shared_in_groups(claims: DataFrame, sources: DataFrame, claim_id: str, source_id: str, group: list[str]) -> DataFrame:
     """Score of all pairs of groups that have few: one shuffle by group brings whole lists of tokens together."""
     said = claims.select(*group, claim_id, claim_tokens(F.col("text")).alias("_t"))
