@@ -96,7 +96,7 @@ def dedup_tokens(x: Column) -> Column:
 
 def claim_tokens(x: Column) -> Column:
     """Distinct tokens of a claim that are longer than two characters and no stop words."""
-    words = F.regexp_extract_all(F.lower(x), F.lit(CLAIM_TOKEN), F.lit(0))
+    words = F.regexp_extract_all(lower_each(x), F.lit(CLAIM_TOKEN), F.lit(0))
     stop = F.array(*[F.lit(w) for w in CLAIM_STOP_WORDS if len(w) > 2])
     return F.array_except(F.filter(words, lambda w: F.length(w) > 2), stop)
 

@@ -37,8 +37,10 @@ def with_claims(rows: DataFrame) -> DataFrame:
     else the object as JSON with sorted keys; of anything else its value. Only objects that come to the last resort are sent to Python."""
     v, kind = F.col("value"), F.col("_kind")
     is_object = kind.startswith("OBJECT")
-    # Absent, null, empty, zero and false values say nothing.
-    said = lambda path: F.when(~F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")).isin("", "0", "false", "[]", "{}"), F.try_variant_get(v, path, "string"))
+    # Absent, null, empty, zero and false values say nothing; a string that reads like one of them does.
+    text = lambda path: F.try_variant_get(v, path, "string")
+    told = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.lit(False))
+    said = lambda path: F.when((text(path) != "") & (told(path) | ~text(path).isin("0", "false", "[]", "{}")), text(path))
     trim = lambda c: F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
     figure = F.when(F.coalesce(said("$.metric"), said("$.value")).isNotNull(), F.concat_ws(" — ", said("$.metric"), said("$.value"), said("$.period")))
     named = F.when(is_object, F.coalesce(trim(said("$.analysis")), figure))
