@@ -101,13 +101,12 @@ def claim_tokens(x: Column) -> Column:
     return F.array_except(F.filter(words, lambda w: F.length(w) > 2), stop)
 
 
-def token_shingles(tokens: Column, width: int = 5, most: int = 6000) -> Column:
-    """Distinct hashes of token n-grams, taken at a stride that keeps at most ``most`` of them."""
+def token_shingles(tokens: Column, width: int = 5) -> Column:
+    """Distinct hashes of all token n-grams."""
 
     def grams(t: Column) -> Column:
         count = F.size(t) - (width - 1)
-        step = F.greatest(F.ceil(count / F.lit(most)).cast("int"), F.lit(1))
-        each = F.transform(F.sequence(F.lit(0), count - 1, step), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(width)), "\x1f")))
+        each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(width)), "\x1f")))
         return F.when(count >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
 
     # Bound to a variable, the tokens are made once a row and not once an n-gram.

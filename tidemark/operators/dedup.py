@@ -9,14 +9,12 @@ from tidemark.functions.text import containment, dedup_tokens, digest, token_shi
 from tidemark.lineage import cut
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 5, most: int = 6000) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
     """``docs`` with tokens, norm, digest, n_tokens and shingles."""
     return (
         docs.withColumn("tokens", dedup_tokens(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("norm", F.array_join("tokens", " "))
-        .withColumns({"digest": digest(F.col("norm")), "n_tokens": F.size("tokens"), "shingles": token_shingles(F.col("tokens"), width, most)})
-        # Candidates come from all shingles: a stride would lose long texts that differ by a token.
-        .withColumn("grams", F.when(F.col("n_tokens") > most, token_shingles(F.col("tokens"), width, 1 << 30)).otherwise(F.col("shingles")))
+        .withColumns({"digest": digest(F.col("norm")), "n_tokens": F.size("tokens"), "shingles": token_shingles(F.col("tokens"), width)})
     )
 
 
@@ -30,25 +28,24 @@ def near_classes(docs: DataFrame, group: list[str], threshold: float, min_tokens
 
     Candidates share a shingle of a prefix: with shingles in one global order, rarest first, two sets that have a share t of the
     shorter one's in common share one among the first n - ceil(t*n) + 1 of each. Texts of too different lengths are no
-    candidates. Similarity is containment, or Jaccard of the shingles, which texts of over 6,000 tokens have at a stride: what
-    contains another at t, or is at Jaccard t of all its shingles, is always looked at, and then judged by that rule.
+    candidates. Similarity is containment, or Jaccard of all shingles. A text that another contains misses at most the shingles at
+    its two ends, the other those of its further tokens: where n-grams repeat, that is less than a share t, and the prefix longer.
     """
     keyed = docs.where(F.col("n_tokens") >= min_tokens).withColumn("_key", F.struct(*group, "suffix"))  # in a struct, null equals null
-    # Tokens and shingles are made once; what follows reads the columns it needs. All shingles stand only where a stride left some out.
-    rest = F.when(F.size("grams") > F.size("shingles"), F.col("grams")).alias("rest")
-    keyed = cut(keyed.select("_key", *group, "doc_id", "n_tokens", "digest", "norm", "shingles", rest), "near-docs")
+    # Tokens and shingles are made once; what follows reads the columns it needs.
+    keyed = cut(keyed.select("_key", *group, "doc_id", "n_tokens", "digest", "norm", "shingles"), "near-docs")
     heads = keyed.groupBy("_key", "digest").agg(F.min("doc_id").alias("rep"))
     members = cut(keyed.select("_key", "digest", F.col("doc_id").alias("id"), *group).join(heads, ["_key", "digest"]).select("_key", *group, "rep", "id"), "near-members")
     copies = members.where("rep <> id").select(F.col("id").alias("doc_id"))
-    big = without(keyed, copies).select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles", "rest")
+    big = without(keyed, copies).select("_key", F.col("doc_id").alias("id"), "n_tokens", "norm", "shingles")
     # A shingle of one group is one number; numbers that agree by chance only add candidates, and groups are compared below.
-    grams = F.coalesce("rest", "shingles")
-    each = big.select("id", "n_tokens", F.size(grams).alias("_n"), F.explode(grams).alias("g"), "_key").select("id", "n_tokens", "_n", F.xxhash64("_key", "g").alias("g"))
+    each = big.select("id", "n_tokens", F.size("shingles").alias("_n"), F.explode("shingles").alias("g"), "_key").select("id", "n_tokens", "_n", F.xxhash64("_key", "g").alias("g"))
     shared = each.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("_df > 1")
     own = Window.partitionBy("id")
     # Shingles that no other text has come first; they only count.
     first = shared.withColumns({"_r": F.row_number().over(own.orderBy("_df", "g")), "_shared": F.count(F.lit(1)).over(own)})
-    reach = F.col("_n") - F.ceil(F.col("_n") * F.lit(threshold) - 1e-9) + 1
+    within = F.col("_n") - F.floor(F.col("n_tokens") * F.lit(1 - ratio) + 1e-9) - 2
+    reach = F.col("_n") - F.greatest(F.lit(1), F.least(F.ceil(F.col("_n") * F.lit(threshold) - 1e-9), within)) + 1
     prefix = cut(first.where(F.col("_r") + F.col("_n") - F.col("_shared") <= reach).select("g", "id", "n_tokens"), "near-prefixes")
     left, right = (prefix.select("g", F.col("id").alias(x), F.col("n_tokens").alias(f"n{x}")) for x in "ab")
     met = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= ratio * F.greatest("na", "nb"))).select("a", "b").distinct()
@@ -123,7 +120,7 @@ def suppress(docs: DataFrame, group: list[str], threshold: float, order: list[Co
     """doc_id, keep, duplicate_of for ``docs`` (doc_id, file_hash, suffix, fingerprints): in rank order, each is dropped that has
     the file hash of a kept one, or its suffix and at least ``threshold`` of its text. A null hash equals none."""
     # Texts and shingles are read once, by the search for pairs; classes need none of them.
-    marked = cut(one_per_class(docs.drop("text", "tokens", "norm", "shingles", "grams"), group, order, min_tokens), "dedup-classes")
+    marked = cut(one_per_class(docs.drop("text", "tokens", "norm", "shingles"), group, order, min_tokens), "dedup-classes")
     heads = marked.where("doc_id = head")
     pairs = near_pairs(docs, group, threshold, min_tokens, only=heads).select(*group, "a", "b").unionByName(same_file(heads, group)).distinct()
     state = greedy_keep(heads, pairs, group, order).select(F.col("doc_id").alias("head"), F.col("keep").alias("_keep"), F.col("duplicate_of").alias("_of"))
