@@ -73,24 +73,32 @@ def without(rows: DataFrame, keys: DataFrame, most: int = 2_000_000) -> DataFram
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, keys.columns, "left_anti")
 
 
-def near_links(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94) -> DataFrame:
-    """(group, a, b, similarity): the pairs of ``near_classes``, and each copy with its representative at 1.0."""
-    pairs, members = near_classes(docs, group, threshold, min_tokens, ratio)
-    return pairs.unionByName(members.where("rep <> id").select(*group, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+#: Documents of one text that meet others at once.
+BLOCK = 1_000
 
 
 def near_pairs(docs: DataFrame, group: list[str], threshold: float, min_tokens: int = 120, ratio: float = 0.94, only: DataFrame | None = None) -> DataFrame:
-    """(group, a, b, similarity) of all alike documents, a < b, copies included: their number grows with the square of the copies, so
-    this is for documents of which one stands for each text (``suppress`` names them by ``only``, doc_id) or small tables."""
+    """(group, a, b, similarity) of all alike documents, a < b, copies included (of documents that ``only``, doc_id, names).
+
+    Their number grows with the square of the copies, so a text's copies are dealt over blocks: no task has more than the pairs
+    of two blocks under one key."""
     pairs, members = near_classes(docs, group, threshold, min_tokens, ratio)
+    members = members.select("rep", "id", *group)
     if only is not None:
         members = members.join(only.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    of = lambda x: members.select(F.col("rep").alias(f"_{x}"), F.col("id").alias(x))
-    spread = pairs.withColumnsRenamed({"a": "_a", "b": "_b"}).join(of("a"), "_a").join(of("b"), "_b")
-    ordered = spread.select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-    twins = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rep").join(members, "rep")
-    same = twins.withColumnRenamed("id", "a").join(twins.select("rep", F.col("id").alias("b")), "rep").where("a < b").select(*group, "a", "b", F.lit(1.0).alias("similarity"))
-    return ordered.unionByName(same)
+    counts = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in group])
+    sizes = cut(counts.select("rep", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"), *group), "near-sizes")
+    dealt = cut(members.select("rep", "id").join(sizes.select("rep", "_blocks"), "rep").select("rep", F.pmod(F.xxhash64("id"), "_blocks").cast("int").alias("_k"), "id"), "near-dealt")
+    of = lambda x: sizes.select(F.col("rep").alias(f"_{x}"), F.col("_blocks").alias(f"_blocks_{x}"))
+    alike = pairs.withColumnsRenamed({"a": "_a", "b": "_b"}).join(of("a"), "_a").join(of("b"), "_b")
+    same = sizes.where("_n > 1").select(*group, F.col("rep").alias("_a"), F.col("rep").alias("_b"), F.lit(1.0).alias("similarity"), F.col("_blocks").alias("_blocks_a"), F.col("_blocks").alias("_blocks_b"))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"_blocks_{x}") - 1)).alias(f"_k{x}")
+    met = alike.unionByName(same).select("*", every("a")).select("*", every("b")).where("_a <> _b or _ka <= _kb")
+    keys = ["_a", "_ka", "_b", "_kb"]
+    one, two = (dealt.select(F.col("rep").alias(f"_{x}"), F.col("_k").alias(f"_k{x}"), F.col("id").alias(x)) for x in "ab")
+    left, right = met.select(*keys, *group, "similarity").join(one, ["_a", "_ka"]), met.select(*keys).join(two, ["_b", "_kb"])
+    found = left.join(right, keys).where("_a <> _b or _ka <> _kb or a < b")
+    return found.select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def one_per_class(docs: DataFrame, group: list[str], order: list[Column], min_tokens: int) -> DataFrame:

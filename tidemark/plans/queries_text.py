@@ -106,11 +106,10 @@ def _docs(t):
     return dedup.fingerprints(t("documents").select("doc_id", "lang", "source", "text", F.lit(".txt").alias("suffix")))
 
 
-@query(f"""{NEAR_SQL}, m AS (SELECT lang, doc_id, min(doc_id) OVER (PARTITION BY lang, norm) AS rep FROM b)
-SELECT near.lang, a, b, similarity FROM near JOIN m x ON x.doc_id = a AND x.rep = a JOIN m y ON y.doc_id = b AND y.rep = b UNION ALL SELECT lang, rep, doc_id, 1.0 FROM m WHERE rep <> doc_id""")
+@query(f"{NEAR_SQL} SELECT lang, a, b, similarity FROM near")
 def near_dup_pairs(t, spark, sf):
-    """Pairs of texts that differ, and each copy with the first of its text"""
-    return dedup.near_links(_docs(t), ["lang"], 0.8)
+    """Documents without a language are alike none"""
+    return dedup.near_pairs(_docs(t).where("lang is not null"), ["lang"], 0.8)
 
 
 @query(f"""{NEAR_SQL}, alike AS (SELECT a, b FROM near WHERE (a % 3 = 0) = (b % 3 = 0) UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.lang = y.lang AND x.text = y.text AND x.doc_id < y.doc_id),
